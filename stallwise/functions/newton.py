@@ -20,34 +20,48 @@ def minimise(
     start: np.ndarray,
     iterations: int = 60,
     step: float = 1e-3,
-    tolerance: float = 1e-11,
+    tolerance: float = 1e-9,
 ) -> tuple[np.ndarray, float, int]:
-    """Return (point, value, iterations used)."""
-    point = np.asarray(start, dtype=float)
-    size = len(point)
-    unit = np.eye(size) * step
+    """Return (point, value, iterations used).
+
+    Every call scores the damped steps together with the stencil around the undamped one, so a
+    step that needs no damping costs one call.
+    """
+    size = len(start)
     pairs = list(combinations(range(size), 2))
-    value = np.inf
+    unit = np.eye(size) * step
+
+    def stencil(centre: np.ndarray) -> list[np.ndarray]:
+        return [centre, *(centre + unit), *(centre - unit), *[centre + unit[i] + unit[j] for i, j in pairs]]
+
+    point = np.asarray(start, dtype=float)
+    around = score(stencil(point))
     for used in range(1, iterations + 1):
-        stencil = [point, *(point + unit), *(point - unit), *[point + unit[i] + unit[j] for i, j in pairs]]
-        f = score(stencil)
-        value, up, down = f[0], f[1 : size + 1], f[size + 1 : 2 * size + 1]
-        gradient = (up - down) / (2 * step)
-        hessian = np.diag((up - 2 * value + down) / step**2)
-        for (i, j), both in zip(pairs, f[2 * size + 1 :]):
-            hessian[i, j] = hessian[j, i] = (both - up[i] - up[j] + value) / step**2
-        roots, axes = np.linalg.eigh(hessian)
-        slope = axes.T @ gradient
-        trials = []
-        for damping in DAMPINGS:
-            move = -axes @ (slope / (np.maximum(np.abs(roots), 1e-8) + damping))
-            length = np.linalg.norm(move)
-            trials.append(point + move * min(1.0, MAX_STEP / max(length, 1e-300)))
-        results = np.nan_to_num(score(trials), nan=np.inf)
-        best = int(np.argmin(results))
+        value = around[0]
+        trials = _steps(point, around, pairs, step)
+        results = np.nan_to_num(score(trials + stencil(trials[0])[1:]), nan=np.inf)
+        best = int(np.argmin(results[: len(trials)]))
         gain = value - results[best]
         if gain > 0:
-            point, value = trials[best], results[best]
+            point = trials[best]
         if gain < tolerance * max(1.0, abs(value)):
-            return point, float(value), used
-    return point, float(value), iterations
+            return point, float(min(value, results[best])), used
+        around = np.append(results[0], results[len(trials) :]) if best == 0 else score(stencil(point))
+    return point, float(around[0]), iterations
+
+
+def _steps(point: np.ndarray, around: np.ndarray, pairs: list[tuple[int, int]], step: float) -> list[np.ndarray]:
+    """Newton steps of increasing damping from the stencil values around ``point``."""
+    size = len(point)
+    value, up, down = around[0], around[1 : size + 1], around[size + 1 : 2 * size + 1]
+    hessian = np.diag((up - 2 * value + down) / step**2)
+    for (i, j), both in zip(pairs, around[2 * size + 1 :]):
+        hessian[i, j] = hessian[j, i] = (both - up[i] - up[j] + value) / step**2
+    roots, axes = np.linalg.eigh(hessian)
+    slope = axes.T @ ((up - down) / (2 * step))
+    steps = []
+    for damping in DAMPINGS:
+        move = -axes @ (slope / (np.maximum(np.abs(roots), 1e-8) + damping))
+        length = np.linalg.norm(move)
+        steps.append(point + move * min(1.0, MAX_STEP / max(length, 1e-300)))
+    return steps

@@ -137,9 +137,12 @@ def cut_points(
     while zones:
         small = [z for z in zones if z.rows <= collect_rows]
         large = [z for z in zones if z.rows > collect_rows]
-        for zone in small:
-            counted = df.where(key.inside(zone)).groupBy(*key.named).agg(F.count("*").alias("n")).collect()
-            _resolve(zone, sorted((tuple(r)[:-1], r["n"]) for r in counted), found)
+        if small:
+            inside = df.where(_any([key.inside(z) for z in small]))
+            rows_read = inside.groupBy(*key.named).agg(F.count("*").alias("n")).collect()
+            counted = sorted((tuple(r)[:-1], r["n"]) for r in rows_read)
+            for zone in small:
+                _resolve(zone, [pair for pair in counted if _contains(zone, pair[0])], found)
         zones = []
         if not large:
             break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,20 @@ def smallest_mode(value: str, weight: str) -> Column:
     """
     candidate = F.when(F.col(value).isNotNull(), F.struct((-F.col(weight)).alias("neg"), F.col(value).alias("v")))
     return F.min(candidate)["v"]
+
+
+def mark_values(df: DataFrame, within: str, value: str, weight: str, tie: str, prefix: str) -> DataFrame:
+    """Add ``{prefix}_first`` (1 on one row per group and value) and ``{prefix}_weight``.
+
+    For rows that are pre-combined and already partitioned on ``within``: it needs a sort but no
+    shuffle, and several values can be counted on the same rows without copying them.
+    """
+    same = Window.partitionBy(within, value)
+    first = F.row_number().over(same.orderBy(tie)) == 1
+    whole = same.orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumns(
+        {
+            f"{prefix}_first": F.when(first & F.col(value).isNotNull(), F.lit(1)).otherwise(F.lit(0)),
+            f"{prefix}_weight": F.sum(weight).over(whole),
+        }
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, great_circle_km, mean_of, ratio
-from ..operators.grouping import smallest_mode
+from ..operators.grouping import mark_values, smallest_mode
 from .enrich import with_time_features
 
 # The order states that count as completed and as delivered.
@@ -104,18 +104,17 @@ def order_level(item_geo: DataFrame, enriched_orders: DataFrame) -> DataFrame:
         )
         .repartition("order_id")
     )
-    per_category = combined.groupBy("order_id", category).agg(
-        *[F.sum(c).alias(c) for c in ("_gmv", "_freight", "_items", "_rows", "_km", "_km_n")]
-    )
-    totals = per_category.groupBy("order_id").agg(
+    marked = mark_values(combined, "order_id", "seller_id", "_rows", category, "_seller")
+    marked = mark_values(marked, "order_id", category, "_rows", "seller_id", "_category")
+    totals = marked.groupBy("order_id").agg(
         F.sum("_gmv").alias("order_gmv"),
         F.sum("_freight").alias("freight_gmv"),
         F.sum("_items").alias("item_count"),
-        F.count(category).alias("category_count"),
-        smallest_mode(category, "_rows").alias("dominant_category"),
+        F.sum("_seller_first").alias("seller_count"),
+        F.sum("_category_first").alias("category_count"),
+        smallest_mode(category, "_category_weight").alias("dominant_category"),
         ratio(F.sum("_km"), F.sum("_km_n")).alias("avg_distance_km"),
     )
-    sellers = combined.groupBy("order_id").agg(F.count_distinct("seller_id").alias("seller_count"))
     attributes = enriched_orders.select(
         "order_id",
         "customer_unique_id",
@@ -130,7 +129,7 @@ def order_level(item_geo: DataFrame, enriched_orders: DataFrame) -> DataFrame:
         "payment_installments",
         "payment_type",
     )
-    joined = totals.join(sellers, "order_id").join(attributes, "order_id", "left")
+    joined = totals.join(attributes, "order_id", "left")
     shaped = joined.select(
         *attributes.columns,
         "order_gmv",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit, ratio
 from ..operators.cuts import SortKey, cut_points, exact_quantiles
-from ..operators.grouping import smallest_mode
+from ..operators.grouping import mark_values, smallest_mode
 from ..workspace import materialise
 
 CATEGORY = "product_category_name_english"
@@ -31,8 +31,9 @@ NUMERIC = [
     "payment_installments",
 ]
 CATEGORICAL = ["main_category", "main_seller_state", "customer_state", "payment_type"]
-# bins per numeric feature; more bins bring the splits closer to exact ones
-MAX_BINS = 64
+MAX_BINS = 32
+# the training sample is bounded, so is its parallelism
+TRAIN_PARTS = 8
 
 
 def model_items(completed_items: DataFrame) -> DataFrame:
@@ -109,25 +110,25 @@ def model_orders(grouped_items: DataFrame) -> DataFrame:
         )
         .repartition("order_id")
     )
-    totals = combined.groupBy(*order_keys).agg(*[F.sum(c).alias(c) for c in sums])
-
-    def modes(column: str, name: str) -> DataFrame:
-        counted = combined.groupBy("order_id", column).agg(F.sum("_rows").alias("_n"))
-        return counted.groupBy("order_id").agg(
-            smallest_mode(column, "_n").alias(name), F.count(column).alias(f"{name}_values")
-        )
-
-    sellers = combined.groupBy("order_id").agg(F.count_distinct("seller_id").alias("seller_count"))
-    joined = (
-        totals.join(modes("category_group", "main_category"), "order_id")
-        .join(modes("seller_state_group", "main_seller_state"), "order_id")
-        .join(sellers, "order_id")
+    marked = combined
+    for column, tie, prefix in (
+        ("seller_id", "category_group", "_seller"),
+        ("category_group", "seller_id", "_category"),
+        ("seller_state_group", "seller_id", "_state"),
+    ):
+        marked = mark_values(marked, "order_id", column, "_rows", tie, prefix)
+    joined = marked.groupBy(*order_keys).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.sum("_seller_first").alias("seller_count"),
+        F.sum("_category_first").alias("category_count"),
+        smallest_mode("category_group", "_category_weight").alias("main_category"),
+        smallest_mode("seller_state_group", "_state_weight").alias("main_seller_state"),
     )
     return joined.select(
         "order_id",
         F.col("_gmv").cast("double").alias("gmv"),
         F.col("_items").alias("item_count"),
-        F.col("main_category_values").alias("category_count"),
+        "category_count",
         "main_category",
         ratio(F.col("_weight"), F.col("_weighed")).alias("avg_weight_g"),
         ratio(F.col("_volume"), F.col("_volumes")).alias("avg_volume_cm3"),
@@ -189,10 +190,13 @@ def model_fit(sample: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Fitt
             featureSubsetStrategy="all",
             maxBins=MAX_BINS,
             maxMemoryInMB=1024,
+            cacheNodeIds=True,
             seed=SEED,
         ),
     ]
+    # a fixed layout by key keeps the bootstrap samples, and so the forest, reproducible
     ready = materialise(fitted.prepare(train), "model-train")
+    ready = ready.repartition(TRAIN_PARTS, "order_id").sortWithinPartitions("order_id")
     return FittedModel(Pipeline(stages=stages).fit(ready), fitted.fills)
 
 
