@@ -187,11 +187,6 @@ def _fitted(wh: Warehouse, model: object, names: list[str]) -> DataFrame:
     return wh.raw.orders.sparkSession.createDataFrame([row], ", ".join(f"{n} double" for n in names))
 
 
-def _order_parts(wh: Warehouse) -> DataFrame:
-    """Order level computed from the raw tables in one plan."""
-    return facts.order_level(wh.item_plan(), wh.orders_plan())
-
-
 JOBS: dict[str, Job] = {
     # sources, sinks, catalog, data quality
     "ingest_csv": Job(_ingest, "table_name:t row_count:i filled_cells:i"),
@@ -245,7 +240,7 @@ JOBS: dict[str, Job] = {
         lambda w: enrich.order_time_features(w.orders_plan()),
         f"order_id:i customer_id:i customer_unique_id:i order_status:t {ORDER_TIMES} {FEATURES}",
     ),
-    "order_level": Job(_order_parts, ORDER),
+    "order_level": Job(lambda w: facts.order_level(w.item_fact, w.orders_enriched), ORDER),
     "completed_orders": Job(lambda w: w.completed_orders, ORDER),
     "delivered_orders": Job(lambda w: w.delivered_orders, ORDER),
     "completed_items": Job(lambda w: w.completed_items, f"{ITEM} distance_km:d"),
@@ -312,7 +307,7 @@ JOBS: dict[str, Job] = {
     ),
     "avg_repeat_share": Job(lambda w: growth.avg_repeat_share(w.customer_mix), "avg_repeat_share:d"),
     "cohort_activity": Job(
-        lambda w: growth.cohort_activity(w.completed_orders),
+        lambda w: growth.cohort_activity(w.completed_orders, w.customer_agg),
         "customer_unique_id:i order_id:i cohort_month:date order_month:date cohort_index:i",
     ),
     "cohort_retention": Job(lambda w: w.retention, COHORT),

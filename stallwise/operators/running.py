@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from ..workspace import materialise
 
-ROWS_PER_RANGE = 1_000_000
+# a range should keep one task busy, and must not outgrow it
+MIN_ROWS_PER_RANGE = 2_000
+MAX_ROWS_PER_RANGE = 1_000_000
 
 
-def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(min(configured, rows), math.ceil(rows / rows_per_range), 1)
+def range_count(df: DataFrame, rows: int) -> int:
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return max(min(parallel, rows // MIN_ROWS_PER_RANGE), math.ceil(rows / MAX_ROWS_PER_RANGE), 1)
 
 
 def with_running(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import days_between, flag, hours_between, month_of, ratio
-from ..operators.grouping import smallest_mode
+from ..operators.grouping import mark_values, smallest_mode
 
 
 def products_enriched(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -36,25 +36,25 @@ def geo_zip(geolocation: DataFrame) -> DataFrame:
     a zip with a huge share of the rows is combined before it is shuffled.
     """
     zip_code, city, state = "geolocation_zip_code_prefix", "geolocation_city", "geolocation_state"
-    counted = geolocation.groupBy(zip_code, city, state).agg(
-        F.count("*").alias("_n"),
-        F.sum("geolocation_lat").alias("_lat"),
-        F.count("geolocation_lat").alias("_lat_n"),
-        F.sum("geolocation_lng").alias("_lng"),
-        F.count("geolocation_lng").alias("_lng_n"),
-    )
-    per_city = counted.groupBy(zip_code, city).agg(
-        F.sum("_n").alias("_n"),
-        *[F.sum(c).alias(c) for c in ("_lat", "_lat_n", "_lng", "_lng_n")],
+    counted = (
+        geolocation.groupBy(zip_code, city, state)
+        .agg(
+            F.count("*").alias("_n"),
+            F.sum("geolocation_lat").alias("_lat"),
+            F.count("geolocation_lat").alias("_lat_n"),
+            F.sum("geolocation_lng").alias("_lng"),
+            F.count("geolocation_lng").alias("_lng_n"),
+        )
+        .repartition(zip_code)
     )
-    per_state = counted.groupBy(zip_code, state).agg(F.sum("_n").alias("_n"))
-    means = per_city.groupBy(zip_code).agg(
+    marked = mark_values(counted, zip_code, city, "_n", state, "_city")
+    marked = mark_values(marked, zip_code, state, "_n", city, "_state")
+    return marked.groupBy(zip_code).agg(
         ratio(F.sum("_lat"), F.sum("_lat_n")).alias("geolocation_lat"),
         ratio(F.sum("_lng"), F.sum("_lng_n")).alias("geolocation_lng"),
-        smallest_mode(city, "_n").alias(city),
+        smallest_mode(city, "_city_weight").alias(city),
+        smallest_mode(state, "_state_weight").alias(state),
     )
-    states = per_state.groupBy(F.col(zip_code).alias("_zip")).agg(smallest_mode(state, "_n").alias(state))
-    return means.join(states, F.col(zip_code).eqNullSafe(F.col("_zip"))).drop("_zip")
 
 
 def _with_geo(df: DataFrame, geo: DataFrame, who: str) -> DataFrame:

@@ -161,7 +161,8 @@ def completed_orders_summary(completed_orders: DataFrame) -> DataFrame:
 
 def _preview(df: DataFrame, order: list[str], digits: dict[str, int], columns: list[str], rows: int) -> DataFrame:
     shown = [F.bround(F.col(c).cast("double"), digits[c]).alias(c) if c in digits else F.col(c) for c in columns]
-    return df.orderBy(*order).limit(rows).select(*shown)
+    # coalesce keeps later projections above the limit, so that this stays a top-k and not a full sort
+    return df.orderBy(*order).limit(rows).coalesce(1).select(*shown)
 
 
 def item_preview(item_geo: DataFrame, rows: int = 5) -> DataFrame:

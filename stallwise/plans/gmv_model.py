@@ -152,8 +152,7 @@ def model_sample_split(orders: DataFrame, size: int = SAMPLE_SIZE, test_share: f
     if rows > size:
         key = ["_draw", "order_id"]
         cut = cut_points(drawn, key, [size], rows=rows, **limits)[size]
-        sort_key = SortKey(drawn, key)
-        drawn = drawn.where(sort_key.column <= sort_key.literal(cut.key))
+        drawn = drawn.where(SortKey(key).up_to(cut.key))
     return drawn.drop("_draw").withColumns(
         {"is_test": hash_unit("split-42", "order_id") < test_share, "label": F.log1p("gmv")}
     )

@@ -95,16 +95,17 @@ def avg_repeat_share(mix: DataFrame) -> DataFrame:
     return without_last_month(mix).agg(F.avg("repeat_order_share").alias("avg_repeat_share"))
 
 
-def cohort_activity(completed_orders: DataFrame) -> DataFrame:
+def cohort_activity(completed_orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Cohort and calendar-month distance for every order.
 
-    The first month is an aggregate joined back, not a window: a customer with very many orders
-    is combined on the map side, and AQE can split the customer's rows in the join.
+    The first month comes from the written customer table, not from a window over the orders:
+    both sides of the join are plain shuffles (or one is broadcast by size), so AQE can split
+    the rows of a customer with very many orders.
     """
     orders = completed_orders.select(
         CUSTOMER, "order_id", month_of("order_purchase_timestamp").alias("order_month")
     )
-    starts = orders.groupBy(F.col(CUSTOMER).alias("_who")).agg(F.min("order_month").alias("cohort_month"))
+    starts = customers.select(F.col(CUSTOMER).alias("_who"), month_of("first_purchase").alias("cohort_month"))
     return (
         orders.join(starts, F.col(CUSTOMER).eqNullSafe(F.col("_who")))
         .withColumn("cohort_index", month_number("order_month") - month_number("cohort_month"))

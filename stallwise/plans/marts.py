@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_of, ratio
-from ..operators.cuts import SortKey, cut_points, exact_quantiles, tile_starts
+from ..operators.cuts import SortKey, cut_points, exact_quantiles, key_order, tile_starts
 from ..operators.running import with_running
 from .enrich import late_flag
 
@@ -151,9 +151,9 @@ def distance_summary(completed_items: DataFrame, tiles: int = 5, **limits) -> Da
     rows = located.count()
     starts = tile_starts(rows, tiles)
     cuts = cut_points(located, order, starts, rows=rows, **limits)
-    key = SortKey(located, order)
+    key = SortKey(order)
     distinct = {c.key: c for c in cuts.values()}
-    edges = sorted(distinct)
+    edges = sorted(distinct, key=key_order)
     zones = located.groupBy(key.zone_number(edges).alias("_zone")).agg(
         F.count("*").alias("_n"),
         F.sum("distance_km").alias("_km"),

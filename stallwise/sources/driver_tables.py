@@ -15,6 +15,12 @@ def _shift(ts: str, amount: F.Column, unit: str) -> F.Column:
     return F.timestamp_add(unit, amount.cast("int"), F.col(ts))
 
 
+def _cents(name: str, precision: int) -> F.Column:
+    """A DOUBLE with two decimals as DECIMAL, by way of whole cents (a direct cast goes through text)."""
+    cents = F.floor(F.col(name) * 100 + 0.5).cast(f"decimal({precision},0)")
+    return (cents * F.lit("0.01").cast("decimal(2,2)")).cast(f"decimal({precision},2)")
+
+
 def load(spark: SparkSession, sf_dir: str) -> RawTables:
     src = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCE_TABLES}
     nation = src["nation"].select("n_nationkey", "n_name")
@@ -54,8 +60,10 @@ def load(spark: SparkSession, sf_dir: str) -> RawTables:
     )
     translation = (
         part.where(~F.col("p_brand").isin(UNTRANSLATED))
-        .groupBy(F.col("p_brand").alias("product_category_name"))
-        .agg(F.lower(F.first("p_brand")).alias("product_category_name_english"))
+        .select(
+            F.col("p_brand").alias("product_category_name"), F.lower("p_brand").alias("product_category_name_english")
+        )
+        .distinct()
     )
     key = F.col("o_orderkey")
     status = F.col("o_orderstatus")
@@ -70,7 +78,7 @@ def load(spark: SparkSession, sf_dir: str) -> RawTables:
         _shift("o_orderdate", F.lit(15), "DAY").alias("order_estimated_delivery_date"),
     )
     line = src["lineitem"]
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    price = _cents("l_extendedprice", 12)
     order_items = line.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
@@ -78,7 +86,7 @@ def load(spark: SparkSession, sf_dir: str) -> RawTables:
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
         price.alias("price"),
-        (price * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
+        (price * _cents("l_tax", 4)).alias("freight_value"),
     )
     flag = F.col("l_returnflag")
     order_payments = line.select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .multiline import first_line, read_records
 from .schemas import CSV_FILES, SCHEMAS, RawTables
 
 # Cell texts that the loader takes as missing.
@@ -15,7 +16,7 @@ MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-# only these tables hold free text with line breaks; multi-line files cannot be split
+# only these tables hold free text with line breaks
 MULTILINE_TABLES = frozenset({"order_reviews"})
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 JDBC_BATCH_ROWS = 10_000
@@ -32,17 +33,15 @@ def read_csv_table(
     """
     target = schema or SCHEMAS[table]
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in target.fields])
-    raw = (
-        spark.read.schema(as_text)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("mode", "FAILFAST" if bad_rows == "FAIL" else "PERMISSIVE")
-        .option("multiLine", table in MULTILINE_TABLES)
-        .csv(path)
-    )
+    options = {"quote": '"', "escape": '"', "mode": "FAILFAST" if bad_rows == "FAIL" else "PERMISSIVE"}
+    if table in MULTILINE_TABLES:
+        header = first_line(spark, path).replace('"', "").split(",")
+        if header != target.fieldNames():
+            raise ValueError(f"{path}: header {header} does not match {target.fieldNames()}")
+        records = read_records(spark, path)
+        raw = records.select(F.from_csv("record", as_text.toDDL(), options).alias("r")).select("r.*")
+    else:
+        raw = spark.read.schema(as_text).options(header=True, enforceSchema=False, encoding="UTF-8", **options).csv(path)
 
     def typed(field: T.StructField) -> F.Column:
         cell = F.when(~F.col(field.name).isin(*MISSING_TEXTS), F.col(field.name))

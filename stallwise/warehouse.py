@@ -43,38 +43,42 @@ class Warehouse:
     def geo_zip_plan(self) -> DataFrame:
         return enrich.geo_zip(self.raw.geolocation)
 
-    def customers_plan(self) -> DataFrame:
-        return enrich.customers_enriched(self.raw.customers, self.geo_zip_plan())
+    def customers_plan(self, geo: DataFrame | None = None) -> DataFrame:
+        return enrich.customers_enriched(self.raw.customers, self.geo_zip_plan() if geo is None else geo)
 
-    def sellers_plan(self) -> DataFrame:
-        return enrich.sellers_enriched(self.raw.sellers, self.geo_zip_plan())
+    def sellers_plan(self, geo: DataFrame | None = None) -> DataFrame:
+        return enrich.sellers_enriched(self.raw.sellers, self.geo_zip_plan() if geo is None else geo)
 
-    def orders_plan(self) -> DataFrame:
+    def orders_plan(self, geo: DataFrame | None = None) -> DataFrame:
         return enrich.orders_enriched(
             self.raw.orders,
-            self.customers_plan(),
+            self.customers_plan(geo),
             enrich.payments_agg(self.raw.order_payments),
             enrich.reviews_agg(self.raw.order_reviews),
         )
 
-    def item_plan(self, orders: DataFrame | None = None) -> DataFrame:
+    def item_plan(self, orders: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
         base = facts.order_item_base(
             self.raw.order_items,
             self.products_plan(),
-            self.sellers_plan(),
+            self.sellers_plan(geo),
             self.orders_plan() if orders is None else orders,
         )
         return facts.order_item_geo(base)
 
     # written tables
 
+    @property
+    def geo_zip(self) -> DataFrame:
+        return self._written("geo_zip", self.geo_zip_plan)
+
     @property
     def orders_enriched(self) -> DataFrame:
-        return self._written("orders_enriched", self.orders_plan)
+        return self._written("orders_enriched", lambda: self.orders_plan(self.geo_zip))
 
     @property
     def item_fact(self) -> DataFrame:
-        return self._written("item_fact", lambda: self.item_plan(self.orders_enriched))
+        return self._written("item_fact", lambda: self.item_plan(self.orders_enriched, self.geo_zip))
 
     @property
     def order_fact(self) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = sc.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="stallwise-")
-    return _local_dirs[app]
+        # kept until the interpreter ends, then removed
+        _local_dirs[app] = tempfile.TemporaryDirectory(prefix="stallwise-", ignore_cleanup_errors=True)
+    return _local_dirs[app].name
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -199,6 +199,33 @@ def test_ingest_csv(spark, csv_folder):
     assert raw.orders.count() == 0
 
 
+def test_multiline_records_across_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(2)
+    pieces = ["plain", 'say ""x""'.replace('""', '"'), "a,b", "one\ntwo", "\n\n", '"', "é\n", "end"]
+    names = tables.SCHEMAS["order_reviews"].fieldNames()
+    expected = set()
+    for part in range(2):
+        with open(tmp_path / f"part{part}.csv", "w", newline="", encoding="utf-8") as f:
+            writer = csv.writer(f, lineterminator="\r\n" if part else "\n")
+            writer.writerow(names)
+            for i in range(400):
+                text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 5)))
+                writer.writerow([f"r{part}-{i}", f"o{i}", i % 5 + 1, "t", text, "2018-01-01 00:00:00", "2018-01-02 00:00:00"])
+                expected.add((f"r{part}-{i}", i % 5 + 1, text))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        df = tables.read_csv_table(spark, str(tmp_path), "order_reviews")
+        assert df.rdd.getNumPartitions() > 1
+        found = {(r.review_id, r.review_score, r.review_comment_message) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == expected
+
+
 def test_ingest_bad_cells(spark, csv_folder):
     header = ",".join(tables.SCHEMAS["sellers"].fieldNames())
     _write(csv_folder, tables.CSV_FILES["sellers"], header + "\ns1,12x,city,SP\n")
