@@ -21,7 +21,7 @@ def figure_plans(wh: Warehouse) -> dict[tuple[str, str], Callable[[], DataFrame]
         ("seller_concentration_quality", "scatter"): lambda: marts.seller_scatter(wh.seller_base),
         ("logistics_satisfaction_patterns", "scores"): lambda: logistics.review_distribution(wh.delivered_orders),
         ("logistics_satisfaction_patterns", "box"): lambda: logistics.review_box_stats(wh.delivered_orders),
-        ("logistics_satisfaction_patterns", "distance"): lambda: marts.distance_summary(wh.completed_items),
+        ("logistics_satisfaction_patterns", "distance"): lambda: wh.distance_summary,
         ("regional_gmv_route_economics", "states"): lambda: marts.top_states(marts.state_summary(wh.completed_orders)),
         ("regional_gmv_route_economics", "routes"): lambda: marts.route_summary(wh.completed_items),
         ("cohort_retention", "matrix"): lambda: growth.cohort_matrix(wh.retention),

@@ -32,7 +32,7 @@ def view_plans(wh: Warehouse) -> dict[str, DataFrame]:
         "vw_seller_summary": wh.seller_summary,
         "vw_state_summary": marts.state_summary(wh.completed_orders),
         "vw_route_summary": marts.route_summary(wh.completed_items),
-        "vw_distance_summary": marts.distance_summary(wh.completed_items),
+        "vw_distance_summary": wh.distance_summary,
         "vw_cohort_retention": wh.retention,
     }
 

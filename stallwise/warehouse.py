@@ -166,6 +166,10 @@ class Warehouse:
     def seller_summary(self) -> DataFrame:
         return self._keep("seller_summary", lambda: marts.seller_summary(self.seller_base))
 
+    @property
+    def distance_summary(self) -> DataFrame:
+        return self._keep("distance_summary", lambda: marts.distance_summary(self.completed_items))
+
     @property
     def monthly(self) -> DataFrame:
         return growth.monthly_metrics(self.completed_orders)
