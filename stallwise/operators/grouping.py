@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# a group this large should not reach a single task uncombined
+HEAVY_ROWS = 5_000_000
+SAMPLED_ROWS = 1_000_000
+MIN_HITS = 5
+
+
+def has_heavy_group(df: DataFrame, key: str) -> bool:
+    """Whether some key probably has HEAVY_ROWS rows or more, from a sample of the key column.
+
+    The answer only chooses between two plans with the same result.
+    """
+    rows = df.count()
+    if rows < HEAVY_ROWS:
+        return False
+    share = min(1.0, SAMPLED_ROWS / rows)
+    counts = df.select(key).sample(share, seed=17).groupBy(key).agg(F.count("*").alias("n"))
+    hits = counts.agg(F.max("n")).first()[0] or 0
+    return hits >= MIN_HITS and hits / share >= HEAVY_ROWS
+
+
+def combined_on(df: DataFrame, key: str, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``combine`` (a grouping on ``key`` and more columns) with a result partitioned on ``key``.
+
+    Normally the rows are shuffled once, on the key, and everything grouped within the key after
+    that needs no further shuffle. With a heavy key they are combined on the map side first.
+    """
+    if has_heavy_group(df, key):
+        return combine(df).repartition(key)
+    return combine(df.repartition(key))
+
 
 def smallest_mode(value: str, weight: str) -> Column:
     """Most frequent value over pre-counted rows; ties go to the smallest, NULLs are ignored.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, great_circle_km, mean_of, ratio
-from ..operators.grouping import mark_values, smallest_mode
+from ..operators.grouping import combined_on, mark_values, smallest_mode
 from .enrich import with_time_features
 
 # The order states that count as completed and as delivered.
@@ -86,15 +86,14 @@ def order_item_geo(item_base: DataFrame) -> DataFrame:
 def order_level(item_geo: DataFrame, enriched_orders: DataFrame) -> DataFrame:
     """One row per order that has items.
 
-    Items are first combined per (order, seller, category) on the map side, so even a giant
-    order shuffles only its distinct combinations; the later steps reuse one order_id
+    Items are combined per (order, seller, category) and every later step reuses one order_id
     partitioning. Order attributes are joined afterwards instead of being dragged through the
     aggregate, which lets a status filter reach the orders table.
     """
     category = "product_category_name_english"
-    combined = (
-        item_geo.groupBy("order_id", "seller_id", category)
-        .agg(
+
+    def per_seller_and_category(items: DataFrame) -> DataFrame:
+        return items.groupBy("order_id", "seller_id", category).agg(
             F.sum("item_gmv").alias("_gmv"),
             F.sum("freight_value").alias("_freight"),
             F.count("order_item_id").alias("_items"),
@@ -102,8 +101,11 @@ def order_level(item_geo: DataFrame, enriched_orders: DataFrame) -> DataFrame:
             F.sum("distance_km").alias("_km"),
             F.count("distance_km").alias("_km_n"),
         )
-        .repartition("order_id")
+
+    narrow = item_geo.select(
+        "order_id", "order_item_id", "seller_id", category, "item_gmv", "freight_value", "distance_km"
     )
+    combined = combined_on(narrow, "order_id", per_seller_and_category)
     marked = mark_values(combined, "order_id", "seller_id", "_rows", category, "_seller")
     marked = mark_values(marked, "order_id", category, "_rows", "seller_id", "_category")
     totals = marked.groupBy("order_id").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit, ratio
 from ..operators.cuts import SortKey, cut_points, exact_quantiles
-from ..operators.grouping import mark_values, smallest_mode
+from ..operators.grouping import combined_on, mark_values, smallest_mode
 from ..workspace import materialise
 
 CATEGORY = "product_category_name_english"
@@ -96,9 +96,9 @@ def model_orders(grouped_items: DataFrame) -> DataFrame:
     """
     order_keys = ["order_id", "customer_state_group", "payment_type", "payment_installments"]
     sums = ["_gmv", "_items", "_rows", "_weight", "_weighed", "_volume", "_volumes", "_same"]
-    combined = (
-        grouped_items.groupBy(*order_keys, "seller_id", "seller_state_group", "category_group")
-        .agg(
+
+    def per_seller_and_category(items: DataFrame) -> DataFrame:
+        return items.groupBy(*order_keys, "seller_id", "seller_state_group", "category_group").agg(
             F.sum("item_gmv").alias("_gmv"),
             F.count("order_item_id").alias("_items"),
             F.count("*").alias("_rows"),
@@ -108,9 +108,8 @@ def model_orders(grouped_items: DataFrame) -> DataFrame:
             F.count("volume_cm3").alias("_volumes"),
             F.sum("same_state_route").alias("_same"),
         )
-        .repartition("order_id")
-    )
-    marked = combined
+
+    marked = combined_on(grouped_items, "order_id", per_seller_and_category)
     for column, tie, prefix in (
         ("seller_id", "category_group", "_seller"),
         ("category_group", "seller_id", "_category"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..operators.cuts import exact_quantiles
+from ..operators.grouping import combined_on
 from ..operators.running import with_running
 from .marts import CATEGORY
 
@@ -48,11 +49,13 @@ def segment_category_mix(
     Items are summed per customer and category before the join, so a hot customer is a handful
     of rows by the time it is shuffled.
     """
-    spend = (
-        completed_items.where(F.col("customer_unique_id").isNotNull() & F.col(CATEGORY).isNotNull())
-        .groupBy("customer_unique_id", CATEGORY)
-        .agg(F.sum("item_gmv").alias("gmv"))
-    )
+
+    def per_category(items: DataFrame) -> DataFrame:
+        return items.groupBy("customer_unique_id", CATEGORY).agg(F.sum("item_gmv").alias("gmv"))
+
+    usable = completed_items.where(F.col("customer_unique_id").isNotNull() & F.col(CATEGORY).isNotNull())
+    narrow = usable.select("customer_unique_id", CATEGORY, "item_gmv")
+    spend = combined_on(narrow, "customer_unique_id", per_category)
     members = customers.where(F.col("value_segment").isin(*segments)).select("customer_unique_id", "value_segment")
     totals = spend.join(members, "customer_unique_id").groupBy("value_segment", CATEGORY).agg(F.sum("gmv").alias("gmv"))
     best = Window.partitionBy("value_segment").orderBy(F.col("gmv").desc_nulls_last(), CATEGORY)

@@ -97,3 +97,22 @@ def test_rank_within_groups_that_span_ranges(spark, ranges):
     expected = {r["id"]: r["n"] for r in df.withColumn("n", F.row_number().over(window)).collect()}
     actual = {r["id"]: r["n"] for r in with_running(df, order, within=["g"], rank="n", ranges=ranges).collect()}
     assert actual == expected
+
+
+def test_heavy_groups_change_the_plan_but_not_the_result(spark, monkeypatch):
+    from stallwise.operators import grouping
+
+    rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i % 4, i) for i in range(900)]
+    df = materialise(spark.createDataFrame(rows, "k string, c int, v int"), "test")
+    combine = lambda d: d.groupBy("k", "c").agg(F.sum("v").alias("v"))
+    light = grouping.combined_on(df, "k", combine)
+    monkeypatch.setattr(grouping, "HEAVY_ROWS", 250)
+    assert grouping.has_heavy_group(df, "k") and not grouping.has_heavy_group(df, "v")
+    heavy = grouping.combined_on(df, "k", combine)
+    assert sorted(light.collect()) == sorted(heavy.collect())
+    # further grouping within the key needs no other shuffle on the light path, one more on the heavy one
+    shuffles = [
+        d.groupBy("k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        for d in (light, heavy)
+    ]
+    assert shuffles == [1, 2]
