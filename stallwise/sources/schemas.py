@@ -73,17 +73,8 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
     ("order_reviews", "order_id", "orders", "order_id"),
 ]
 
-CSV_FILES: dict[str, str] = {
-    "customers": "olist_customers_dataset.csv",
-    "products": "olist_products_dataset.csv",
-    "sellers": "olist_sellers_dataset.csv",
-    "orders": "olist_orders_dataset.csv",
-    "order_items": "olist_order_items_dataset.csv",
-    "order_payments": "olist_order_payments_dataset.csv",
-    "order_reviews": "olist_order_reviews_dataset.csv",
-    "geolocation": "olist_geolocation_dataset.csv",
-    "product_category_translation": "product_category_name_translation.csv",
-}
+# one file, or one folder of part files, per table; pass another map for other names
+CSV_FILES: dict[str, str] = {table: f"{table}.csv" for table in SCHEMAS}
 
 
 @dataclass(frozen=True)
