@@ -430,12 +430,12 @@ JOBS: dict[str, Job] = {
     ),
     # order-value model
     "model_items": Job(
-        lambda w: gmv_model.model_items(w.completed_items),
+        lambda w: w.model_items,
         "order_id:i order_item_id:i customer_state:t seller_state:t product_category_name_english:t item_gmv:d "
         "product_weight_g:i volume_cm3:i seller_id:i same_state_route:i payment_installments:i payment_type:t",
     ),
     "top_n_or_other": Job(
-        lambda w: gmv_model.top_values(gmv_model.model_items(w.completed_items)), "feature:t value:t row_count:i"
+        lambda w: gmv_model.top_values(w.model_items), "feature:t value:t row_count:i"
     ),
     "payment_type_map": Job(
         lambda w: w.grouped_items,

@@ -140,19 +140,32 @@ def model_orders(grouped_items: DataFrame) -> DataFrame:
     )
 
 
-def model_sample_split(orders: DataFrame, size: int = SAMPLE_SIZE, test_share: float = TEST_SHARE, **limits) -> DataFrame:
-    """Exactly ``min(size, n)`` orders by smallest salted hash, and a stable train/test flag.
+def sampled_items(items: DataFrame, orders: int, size: int = SAMPLE_SIZE, **limits) -> DataFrame:
+    """Items of exactly ``min(size, n)`` orders, those with the smallest salted hash.
 
-    The cut-off hash is found exactly, so the sample is a filter and not a global sort.
-    ``orders`` should be a written table.
+    ``orders`` estimates how many orders there are. Only order ids below a hash that should
+    leave about twice the sample are made distinct, the exact cut-off is found among them, and
+    the sample is then a plain filter: features are computed for the sampled orders alone.
     """
-    drawn = orders.withColumn("_draw", hash_unit("sample-42", "order_id"))
-    rows = orders.count()
-    if rows > size:
+    drawn = items.withColumn("_draw", hash_unit("sample-42", "order_id"))
+    share = min(1.0, 2.0 * size / max(orders, 1))
+    while True:
+        below = F.col("_draw") < share
+        ids = materialise(drawn.where(below).select("_draw", "order_id").distinct(), "sample-ids")
+        found = ids.count()
+        if found >= size or share >= 1.0:
+            break
+        share = min(1.0, share * 2)
+    if found > size:
         key = ["_draw", "order_id"]
-        cut = cut_points(drawn, key, [size], rows=rows, **limits)[size]
-        drawn = drawn.where(SortKey(key).up_to(cut.key))
-    return drawn.drop("_draw").withColumns(
+        cut = cut_points(ids, key, [size], rows=found, **limits)[size]
+        below = SortKey(key).up_to(cut.key)
+    return drawn.where(below).drop("_draw")
+
+
+def model_sample_split(sampled_orders: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:
+    """Stable train/test flag by a second salted hash, and the log target."""
+    return sampled_orders.withColumns(
         {"is_test": hash_unit("split-42", "order_id") < test_share, "label": F.log1p("gmv")}
     )
 

@@ -121,18 +121,25 @@ class Warehouse:
         return self._keep("experiment", build)
 
     @property
-    def grouped_items(self) -> DataFrame:
-        items = facts.completed(self.item_fact)
-        top = self._written("top_values", lambda: gmv_model.top_values(gmv_model.model_items(items)))
-        return gmv_model.with_groups(gmv_model.model_items(items), top)
+    def model_items(self) -> DataFrame:
+        return gmv_model.model_items(self.completed_items)
+
+    @property
+    def top_values(self) -> DataFrame:
+        return self._written("top_values", lambda: gmv_model.top_values(self.model_items))
 
     @property
-    def model_orders(self) -> DataFrame:
-        return self._written("model_orders", lambda: gmv_model.model_orders(self.grouped_items))
+    def grouped_items(self) -> DataFrame:
+        return gmv_model.with_groups(self.model_items, self.top_values)
 
     @property
     def model_sample(self) -> DataFrame:
-        return self._written("model_sample", lambda: gmv_model.model_sample_split(self.model_orders))
+        def build() -> DataFrame:
+            items = gmv_model.sampled_items(self.model_items, self.order_fact.count())
+            orders = gmv_model.model_orders(gmv_model.with_groups(items, self.top_values))
+            return gmv_model.model_sample_split(orders)
+
+        return self._written("model_sample", build)
 
     @property
     def model(self) -> gmv_model.FittedModel:

@@ -128,13 +128,22 @@ def test_predictions(small):
 
 
 def test_sample_is_exact_and_stable(spark, small):
-    orders = small.model_orders
-    wanted = orders.count() // 3
-    picked = gmv_model.model_sample_split(orders, size=wanted, collect_rows=30, sample_rows=50)
-    again = gmv_model.model_sample_split(orders.repartition(13), size=wanted)
-    assert picked.count() == wanted
-    assert {r.order_id for r in picked.collect()} == {r.order_id for r in again.collect()}
-    share = picked.agg(F.avg(F.col("is_test").cast("int"))).first()[0]
+    items = small.model_items
+    orders = items.select("order_id").distinct().count()
+    wanted = orders // 3
+    ids = lambda df: {r.order_id for r in df.select("order_id").distinct().collect()}
+    picked = ids(gmv_model.sampled_items(items, orders, wanted, collect_rows=30, sample_rows=50))
+    assert len(picked) == wanted
+    # another layout, and estimates that are far off in either direction
+    assert ids(gmv_model.sampled_items(items.repartition(13), orders * 50, wanted)) == picked
+    assert ids(gmv_model.sampled_items(items, 1, wanted)) == picked
+    assert len(ids(gmv_model.sampled_items(items, orders, orders + 5))) == orders
+    # all items of a sampled order are kept
+    kept = gmv_model.sampled_items(items, orders, wanted)
+    assert kept.count() == items.where(F.col("order_id").isin(picked)).count()
+    split = gmv_model.model_sample_split(gmv_model.model_orders(gmv_model.with_groups(kept, small.top_values)))
+    assert split.count() == wanted
+    share = split.agg(F.avg(F.col("is_test").cast("int"))).first()[0]
     assert 0.15 < share < 0.35
 
 
