@@ -106,7 +106,8 @@ def test_heavy_groups_change_the_plan_but_not_the_result(spark, monkeypatch):
     df = materialise(spark.createDataFrame(rows, "k string, c int, v int"), "test")
     combine = lambda d: d.groupBy("k", "c").agg(F.sum("v").alias("v"))
     light = grouping.combined_on(df, "k", combine)
-    monkeypatch.setattr(grouping, "HEAVY_ROWS", 250)
+    monkeypatch.setattr(grouping, "NOTICEABLE_ROWS", 250)
+    monkeypatch.setattr(grouping, "MAX_SAMPLED_SHARE", 1.0)
     assert grouping.has_heavy_group(df, "k") and not grouping.has_heavy_group(df, "v")
     heavy = grouping.combined_on(df, "k", combine)
     assert sorted(light.collect()) == sorted(heavy.collect())

@@ -80,6 +80,8 @@ def test_results_do_not_depend_on_partitions(spark, base, partitions):
 def test_results_do_not_depend_on_size_limits(spark, base, monkeypatch):
     """The paths for heavy keys, many ranges and sampled cuts give the same rows."""
     monkeypatch.setattr(grouping, "HEAVY_ROWS", 1)
+    monkeypatch.setattr(grouping, "NOTICEABLE_ROWS", 1)
+    monkeypatch.setattr(grouping, "MAX_SAMPLED_SHARE", 1.0)
     monkeypatch.setattr(grouping, "MIN_HITS", 1)
     monkeypatch.setattr(running, "MIN_ROWS_PER_RANGE", 20)
     monkeypatch.setattr(cuts.cut_points, "__defaults__", (None, 50, 40, frozenset()))
