@@ -140,27 +140,28 @@ def model_orders(grouped_items: DataFrame) -> DataFrame:
     )
 
 
-def sampled_items(items: DataFrame, orders: int, size: int = SAMPLE_SIZE, **limits) -> DataFrame:
-    """Items of exactly ``min(size, n)`` orders, those with the smallest salted hash.
+def sampled_items(items: DataFrame, orders: DataFrame, size: int = SAMPLE_SIZE, **limits) -> DataFrame:
+    """Items of exactly ``min(size, n)`` orders that have items, those with the smallest salted hash.
 
-    ``orders`` estimates how many orders there are. Only order ids below a hash that should
-    leave about twice the sample are made distinct, the exact cut-off is found among them, and
-    the sample is then a plain filter: features are computed for the sampled orders alone.
+    ``orders`` holds every order once and is drawn first: only hashes that should leave about
+    twice the sample are looked up among the items. The exact cut-off is found in that small
+    table, so features are computed for the sampled orders alone.
     """
-    drawn = items.withColumn("_draw", hash_unit("sample-42", "order_id"))
-    share = min(1.0, 2.0 * size / max(orders, 1))
+    drawn = orders.select("order_id", hash_unit("sample-42", "order_id").alias("_draw"))
+    share = min(1.0, 2.0 * size / max(orders.count(), 1))
     while True:
-        below = F.col("_draw") < share
-        ids = materialise(drawn.where(below).select("_draw", "order_id").distinct(), "sample-ids")
-        found = ids.count()
+        near = materialise(drawn.where(F.col("_draw") < share), "sample-near")
+        used = materialise(items.select("order_id").join(near, "order_id").distinct(), "sample-used")
+        found = used.count()
         if found >= size or share >= 1.0:
             break
         share = min(1.0, share * 2)
     if found > size:
         key = ["_draw", "order_id"]
-        cut = cut_points(ids, key, [size], rows=found, **limits)[size]
-        below = SortKey(key).up_to(cut.key)
-    return drawn.where(below).drop("_draw")
+        cut = cut_points(used, key, [size], rows=found, **limits)[size]
+        used = used.where(SortKey(key).up_to(cut.key))
+    # at most ``size`` ids are left
+    return items.join(F.broadcast(used.select("order_id")), "order_id", "left_semi")
 
 
 def model_sample_split(sampled_orders: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:

@@ -135,7 +135,7 @@ class Warehouse:
     @property
     def model_sample(self) -> DataFrame:
         def build() -> DataFrame:
-            items = gmv_model.sampled_items(self.model_items, self.order_fact.count())
+            items = gmv_model.sampled_items(self.model_items, self.completed_orders)
             orders = gmv_model.model_orders(gmv_model.with_groups(items, self.top_values))
             return gmv_model.model_sample_split(orders)
 

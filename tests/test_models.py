@@ -128,18 +128,19 @@ def test_predictions(small):
 
 
 def test_sample_is_exact_and_stable(spark, small):
-    items = small.model_items
+    items, everyone = small.model_items, small.completed_orders
     orders = items.select("order_id").distinct().count()
     wanted = orders // 3
     ids = lambda df: {r.order_id for r in df.select("order_id").distinct().collect()}
-    picked = ids(gmv_model.sampled_items(items, orders, wanted, collect_rows=30, sample_rows=50))
+    picked = ids(gmv_model.sampled_items(items, everyone, wanted, collect_rows=30, sample_rows=50))
     assert len(picked) == wanted
-    # another layout, and estimates that are far off in either direction
-    assert ids(gmv_model.sampled_items(items.repartition(13), orders * 50, wanted)) == picked
-    assert ids(gmv_model.sampled_items(items, 1, wanted)) == picked
-    assert len(ids(gmv_model.sampled_items(items, orders, orders + 5))) == orders
+    # another layout, and many orders without items
+    strangers = spark.range(10**6, 10**6 + 40 * orders).select(F.col("id").alias("order_id"))
+    crowd = everyone.select("order_id").unionByName(strangers)
+    assert ids(gmv_model.sampled_items(items.repartition(13), crowd, wanted)) == picked
+    assert len(ids(gmv_model.sampled_items(items, everyone, orders + 5))) == orders
     # all items of a sampled order are kept
-    kept = gmv_model.sampled_items(items, orders, wanted)
+    kept = gmv_model.sampled_items(items, everyone, wanted)
     assert kept.count() == items.where(F.col("order_id").isin(picked)).count()
     split = gmv_model.model_sample_split(gmv_model.model_orders(gmv_model.with_groups(kept, small.top_values)))
     assert split.count() == wanted
