@@ -56,11 +56,11 @@ _DOT = r"\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 # bare "at" and "dot" count only in the form "name at host dot top"
 _TRIGGER = re.compile(
-    rf"(?P<glyph>[{re.escape(''.join(_GLYPHS))}]+)"
+    rf"(?P<glyph>(?-i:[{re.escape(''.join(_GLYPHS))}]+))"
     rf"|(?P<at>{_AT}|(?<=[A-Za-z0-9])\x20at\x20(?={_LABEL}(?:{_DOT}|\x20dot\x20)))"
     rf"|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9]))"
     rf"|(?P<spelled>\b(?:plus[\x20-])?{_DIGIT}(?:[\x20-](?:{_DIGIT}|oh)){{3,}}\b)",
-    re.IGNORECASE,
+    re.IGNORECASE | re.ASCII,
 )
 _SPELLED = re.compile(r"[\x20-]")
 

@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, quality
+from . import chat_format, exact_dedup, packing, pii, quality, secret_scan, warc
 from .base import table
 
+# conversation -7 of the contract, in another layout than the table
+CONTROL_CONVERSATION = r"""
+    SELECT -7L AS conv_id, array(
+        named_struct('role', 'user', 'content', r'\### Assistant: </turn> ok'),
+        named_struct('role', 'assistant', 'content', r'\### Assistant: </turn> ok')) AS messages
+""".replace("\\\\", "\\")
+
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -18,3 +26,48 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
+
+
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    stored = chat_format.turns(table(spark, folder, "conversations"))
+    added = chat_format.turns(spark.sql(CONTROL_CONVERSATION))
+    texts = chat_format.formatted(stored.unionByName(added))
+    read = chat_format.parsed(texts)
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join("trained", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length(trained).cast("long").alias("loss_chars"),
+        F.sha2(trained.cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    listed = secret_scan.listed
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))

@@ -35,9 +35,9 @@ BASE64_BITS = 3.7
 # strings of public examples and placeholders, and paths of plain words
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|lorem",
-    r"(.)\1{7,}",
+    r"(?<same>.)\k<same>{7,}",
     r"(?i)0123456789|abcdefghij",
-    r"^[/_=-]*([A-Za-z]+[/_=-]+)*[A-Za-z]*[0-9]{0,4}[/_=-]*$",
+    r"^[A-Za-z+/_=-]*[0-9]{0,4}[/_=-]*$",
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
 )
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
@@ -80,31 +80,34 @@ def _clog(count: Column) -> Column:
 
 def _peak_bits(candidate: Column) -> Column:
     """Highest Shannon entropy of a window of the candidate, by counts updated one character at a time."""
-    letters = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     width = F.lit(WINDOW)
     start = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak")
     )
 
-    def slide(acc: Column, i: Column) -> Column:
-        enters = F.element_at(letters_col, i)
-        # no character has left yet while the window fills: place 0 of no letter
-        leaves = F.when(i > width, F.element_at(letters_col, F.greatest(i - width, F.lit(1)))).otherwise(F.lit(0))
-        counts, total = acc["counts"], acc["sum"]
-        out = F.when(leaves > 0, F.element_at(counts, F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
-        total = total - _clog(out) + _clog(out - 1)
-        # the count that the entering character meets after the other one left
-        met = F.element_at(counts, enters) - F.when(enters == leaves, 1).otherwise(0)
-        total = total - _clog(met) + _clog(met + 1)
-        moved = F.transform(
-            counts,
-            lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0),
-        )
-        bits = F.when(i >= width, F.log2(width) - total / width).otherwise(F.lit(0.0))
-        return F.struct(moved.alias("counts"), total.alias("sum"), F.greatest(acc["peak"], bits).alias("peak"))
-
-    letters_col = letters
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, slide, lambda acc: acc["peak"])
+    def over(letters: Column) -> Column:
+        def slide(acc: Column, i: Column) -> Column:
+            enters = F.element_at(letters, i)
+            # while the window fills nothing leaves: 0 is no letter
+            leaves = F.when(i > width, F.element_at(letters, F.greatest(i - width, F.lit(1)))).otherwise(F.lit(0))
+            counts, total = acc["counts"], acc["sum"]
+            out = F.when(leaves > 0, F.element_at(counts, F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
+            total = total - _clog(out) + _clog(out - 1)
+            # the count that the entering character meets after the other one left
+            met = F.element_at(counts, enters) - F.when(enters == leaves, 1).otherwise(0)
+            total = total - _clog(met) + _clog(met + 1)
+            moved = F.transform(
+                counts,
+                lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0),
+            )
+            bits = F.when(i >= width, F.log2(width) - total / width).otherwise(F.lit(0.0))
+            return F.struct(moved.alias("counts"), total.alias("sum"), F.greatest(acc["peak"], bits).alias("peak"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, slide, lambda acc: acc["peak"])
+
+    letters = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    # a one-element array binds the letters once per candidate
+    return F.element_at(F.transform(F.array(letters), over), 1)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,14 +124,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _matches(HEX, text.rlike(HEX)).alias("_hex"),
         _matches(CANDIDATE, text.rlike(CANDIDATE)).alias("_candidate"),
     )
-    value = F.char_length(F.regexp_extract("_x", ASSIGN, 2))
     assign = F.filter("_assign", lambda x: F.char_length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
     access = F.filter("_access", lambda x: F.char_length(x["match"]) >= 16)
-    del value
 
     def secret(x: Column) -> Column:
         bits = F.when(x["match"].rlike(HEX_ONLY), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
-        free = ~x["match"].rlike("|".join(f"(?:{p})" for p in ALLOWED).replace(r"\1", r"\2"))
+        free = ~x["match"].rlike("|".join(f"(?:{p})" for p in ALLOWED))
         return free & (_peak_bits(x["match"]) >= bits)
 
     found = found.select(
