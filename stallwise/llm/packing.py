@@ -101,7 +101,7 @@ def pack(
         placed = best_fit(
             group["n_words"].tolist(), group["_source"].tolist(), group["_cluster"].tolist(), capacity, by_source
         )
-        bins = (group["_shard"].astype("int64") << _BIN_BITS) + [number for number, _ in placed]
+        bins = group["_shard"].astype("int64") * (1 << _BIN_BITS) + [number for number, _ in placed]
         return group[["_id", "chunk", "start_word", "n_words"]].assign(bin_id=bins, bin_offset=[o for _, o in placed])
 
     kind = docs.schema[id_col].dataType.simpleString()

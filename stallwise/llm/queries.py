@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, packing, pii, quality, secret_scan, warc
+from . import bpe, chat_format, exact_dedup, packing, pii, quality, secret_scan, toxicity, warc
 from .base import table
 
 # conversation -7 of the contract, in another layout than the table
@@ -71,3 +72,20 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return bpe.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=())
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = toxicity.fit(docs, labels, ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )

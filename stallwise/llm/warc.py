@@ -54,7 +54,7 @@ def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     )
     sizes = keyed.groupBy("_digest").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.min("_bytes").alias("_bytes"))
     sizes = materialise(sizes, "warc_payloads")
-    total = sizes.agg(F.sum(F.col("_bytes") * F.least(F.col("_n"), F.lit(1)) + 700 * F.col("_n"))).first()[0] or 0
+    total = sizes.agg(F.sum(F.col("_bytes") + 700 * F.col("_n"))).first()[0] or 0
     shared = sizes.filter((F.col("_n") > 1) & (F.col("_bytes") >= SMALLEST_SHARED)).select("_digest", "_first")
     joined = keyed.join(shared, "_digest", "left")
     revisits = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
