@@ -20,12 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialise
-from .base import SPACE, text_of
+from .base import SPACE, bitmap_of, text_of, with_bit
 
 PREFIX = 256
-# the broadcast bitmap: 2**27 bits are 16 MB, whatever the input
-BITMAP_BITS = 1 << 27
-_BITS_PER_ROW = 32768  # of Spark's bitmap functions
 
 
 def normalised(name: str) -> Column:
@@ -41,33 +38,22 @@ def _keyed(docs: DataFrame, text: str, *others: Column) -> DataFrame:
     )
 
 
-def _slots(df: DataFrame) -> DataFrame:
-    slot = F.pmod(F.xxhash64("_length", "_prefix"), F.lit(BITMAP_BITS)).alias("_slot")
-    return (
-        df.select("*", slot)
-        .withColumn("_bucket", F.expr(f"cast(_slot div {_BITS_PER_ROW} as int)"))
-        .withColumn("_position", F.expr(f"cast(_slot % {_BITS_PER_ROW} as int)"))
-        .drop("_slot")
-    )
+def _key() -> Column:
+    return F.xxhash64("_length", "_prefix")
 
 
 def survivors_bitmap(docs: DataFrame, text: str) -> DataFrame:
-    """Bitmap rows (``_bucket``, ``_bits``) over the lengths and prefixes that occur twice or more."""
+    """Bitmap over the lengths and prefixes that occur twice or more."""
     counts = _keyed(docs, text).groupBy("_length", "_prefix").agg(F.count("*").alias("_n"))
     counts = materialise(counts, "dedup_counts")
     lengths = counts.groupBy("_length").agg(F.sum("_n").alias("_rows")).filter("_rows > 1").select("_length")
     shared = counts.filter("_n > 1").join(lengths, "_length", "left_semi")
-    return materialise(
-        _slots(shared).groupBy("_bucket").agg(F.bitmap_construct_agg("_position").alias("_bits")), "dedup_bitmap"
-    )
+    return materialise(bitmap_of(shared, _key()), "dedup_bitmap")
 
 
 def _refined(docs: DataFrame, text: str, bitmap: DataFrame, *others: Column) -> DataFrame:
     """The rows with ``_norm`` and whether they survive the length and prefix steps (``_survives``)."""
-    marked = _slots(_keyed(docs, text, *others)).join(F.broadcast(bitmap), "_bucket", "left")
-    byte = "cast(conv(hex(substring(_bits, _position div 8 + 1, 1)), 16, 10) as int)"
-    hit = F.expr(f"coalesce(shiftright({byte}, _position % 8) & 1, 0) = 1")
-    return marked.withColumn("_survives", hit).drop("_bucket", "_position", "_bits", "_length", "_prefix")
+    return with_bit(_keyed(docs, text, *others), bitmap, _key(), "_survives").drop("_length", "_prefix")
 
 
 def _groups(rows: DataFrame) -> DataFrame:

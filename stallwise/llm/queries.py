@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, packing, pii, quality, secret_scan, toxicity, warc
+from . import bpe, chat_format, exact_dedup, near_dedup, packing, pii, quality, secret_scan, toxicity, warc
 from .base import table
 
 # conversation -7 of the contract, in another layout than the table
@@ -89,3 +89,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, folder, "documents"))
