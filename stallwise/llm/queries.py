@@ -93,3 +93,65 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_chat_format": op2_chat_format,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_personal_data": op5_personal_data,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_bpe": op7_bpe,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
+}
+
+ORACLES = {
+    "op1_exact_dedup": r"""
+        WITH n AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+        )
+        SELECT doc_id,
+               min(doc_id) OVER (PARTITION BY norm) AS keep_id,
+               count(*) OVER (PARTITION BY norm) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept,
+               sha256(norm) AS text_sha256
+        FROM n
+    """,
+    "op2_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), e AS (
+            SELECT *,
+                   replace(replace(replace(t, '\', '\b'), '</turn>', '\t'), '###', '\h') AS et,
+                   replace(replace(replace(replace(r, '\', '\b'), '</turn>', '\t'), '###', '\h'), ':', '\c') AS er
+            FROM c
+        )
+        SELECT conv_id,
+               count(*) AS n_turns,
+               sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+               CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn, r, t)) AS loss_sha256,
+               CAST(sum(length('### ') + length(er) + length(': ') + length(et) + length('</turn>') + 1) AS BIGINT)
+                   AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+    "op10_warc": r"""
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT *, payload_bytes >= 100 AND page_id > min(page_id) OVER (PARTITION BY payload_digest) AS again,
+                   min(page_id) OVER (PARTITION BY payload_digest) AS first_id
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first_id END AS refers_to
+        FROM f
+    """,
+}
