@@ -8,7 +8,7 @@ the estimate, and the start with the smaller determinant wins. A text is rejecte
 Mahalanobis distance exceeds ``cutoff``.
 
 Every step is an aggregate with map-side combination per group, so a hot source costs one partial row per
-task; the estimates have one row per group and join back without a hint. Each share has a tolerance that is
+task; the estimates have one row per group; up to ``BROADCAST_GROUPS`` of them are broadcast. Each share has a tolerance that is
 added to the scatter, so a group in which a share is constant does not reject every small deviation.
 Groups of fewer than ``small`` texts use the estimate over all texts.
 
@@ -33,6 +33,8 @@ SYMBOLS = r"[^#*$%&|<>]+"
 CORE = 0.75
 STEPS = 3
 SMALL = 100
+# estimates of up to so many groups (600 bytes each, two starts) are broadcast, more are joined by a shuffle
+BROADCAST_GROUPS = 10_000
 # key of the estimate over all texts
 EVERY = "\0all"
 # chi-squared with six degrees of freedom: one clean text in a million lies beyond
@@ -178,12 +180,13 @@ def _estimates(rows: DataFrame, keys: list[str], core: float, steps: int) -> Dat
     )
     plain = _scatter(rows.groupBy(*keys).agg(*_moments()).withColumn("start", F.lit(1)), *per)
     sizes = materialise(grouped.select(*keys, "n"), "mcd_sizes")
+    narrow = F.broadcast if sizes.count() <= BROADCAST_GROUPS else lambda estimates: estimates
     current = materialise(_decomposed(robust.unionByName(plain)), "mcd_estimate")
     for _ in range(steps):
-        measured = _with_distance(rows.join(current, keys)).select("start", *keys, *X, "distance")
+        measured = _with_distance(rows.join(narrow(current), keys)).select("start", *keys, *X, "distance")
         limits = measured.groupBy(*per).agg(F.percentile_approx("distance", core, 1000).alias("limit"))
         limited = materialise(current.join(limits, per), "mcd_limits")
-        nearest = _with_distance(rows.join(limited, keys)).filter("distance <= limit")
+        nearest = _with_distance(rows.join(narrow(limited), keys)).filter("distance <= limit")
         current = materialise(_decomposed(_scatter(nearest.groupBy(*per).agg(*_moments()), *per)), "mcd_estimate")
     fitted = [f"m_{i}" for i in range(D)] + [f"l_{i}_{j}" for i, j in PAIRS]
     best = current.groupBy(*keys).agg(F.min_by(F.struct(*fitted), F.col("log_det")).alias("_best"))
@@ -205,7 +208,9 @@ def outliers(counts: DataFrame, core: float = CORE, steps: int = STEPS, small: i
     )
     is_every = (F.col("_lang") == EVERY) & (F.col("_source") == EVERY)
     general = found.filter(is_every).select(F.col("_own").alias("_every"))
-    joined = rows.join(found.filter(~is_every & (F.col("n") >= small)).drop("n"), ["_lang", "_source"], "left")
+    groups = found.filter(~is_every & (F.col("n") >= small)).drop("n")
+    groups = F.broadcast(groups) if found.count() <= BROADCAST_GROUPS else groups
+    joined = rows.join(groups, ["_lang", "_source"], "left")
     joined = joined.join(F.broadcast(general), F.lit(True), "left")  # one row
     joined = joined.select(*rows.columns, F.coalesce("_own", "_every").alias("_e")).select(*rows.columns, "_e.*")
     return _with_distance(joined).drop(*fitted, *X)
