@@ -37,15 +37,15 @@ SMALL = 100
 BROADCAST_GROUPS = 10_000
 # key of the estimate over all texts
 EVERY = "\0all"
-# chi-squared with six degrees of freedom: one clean text in a million lies beyond
-CUTOFF = 38.3
+# chi-squared with six degrees of freedom: one in a thousand of normally scattered texts lies beyond
+CUTOFF = 22.46
 # (statistic, tolerance): a standard deviation of this size is added to the scatter
 STATISTICS = (
     ("symbol_share", 0.15),
     ("upper_share", 0.06),
     ("punct_share", 0.06),
-    ("repeat_share", 0.10),
-    ("dup_line_share", 0.10),
+    ("repeat_share", 0.15),
+    ("dup_line_share", 0.15),
     ("word_length", 0.10),
 )
 D = len(STATISTICS)
