@@ -54,11 +54,13 @@ _DIGIT = r"(?:zero|one|two|three|four|five|six|seven|eight|nine)"
 _AT = r"\x20?[\[({<]\x20?at\x20?[\])}>]\x20?"
 _DOT = r"\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
-# bare "at" and "dot" count only in the form "name at host dot top"
+# fixed values: common last labels of host names
+_TOP = r"(?:com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu|it|nl|ch|at|us|ca|au)\b"
+# bare "at" and "dot" count only in the form "name at host dot top" with a common last label
 _TRIGGER = re.compile(
     rf"(?P<glyph>(?-i:[{re.escape(''.join(_GLYPHS))}]+))"
-    rf"|(?P<at>{_AT}|(?<=[A-Za-z0-9])\x20at\x20(?={_LABEL}(?:{_DOT}|\x20dot\x20)))"
-    rf"|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9]))"
+    rf"|(?P<at>{_AT}|(?<=[A-Za-z0-9])\x20at\x20(?=(?:{_LABEL}(?:{_DOT}|\x20dot\x20|\.)){{1,6}}{_TOP}))"
+    rf"|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\x20dot\x20(?=(?:{_LABEL}(?:{_DOT}|\x20dot\x20|\.)){{0,6}}{_TOP}))"
     rf"|(?P<spelled>\b(?:plus[\x20-])?{_DIGIT}(?:[\x20-](?:{_DIGIT}|oh)){{3,}}\b)",
     re.IGNORECASE | re.ASCII,
 )
@@ -129,7 +131,9 @@ class Rewritten(NamedTuple):
         begin = at if new else at + start - self.out[first]
         at, stop, new = self.source[last]
         finish = stop if new else at + end - self.out[last]
-        return begin, finish, any(self.source[k][2] for k in range(first, last + 1))
+        # characters that were dropped leave a source span of another length
+        changed = finish - begin != end - start or any(self.source[k][2] for k in range(first, last + 1))
+        return begin, finish, changed
 
 
 def rewrite(text: str) -> Rewritten | None:

@@ -5,8 +5,8 @@ feature, in how many toxic and other documents it occurs. Copies of a text count
 each text weighs one over the number of sampled texts that share one of three minimum shingle hashes with it.
 Features are whole words and the first and last five or four letters. Log-odds with an informative Dirichlet
 prior (the pooled counts, ``PRIOR`` documents heavy) weigh each feature; those whose likelihood ratio is not
-significant count as neutral. A word takes the weight of its most specific feature that was seen often
-enough. Neutral words cost ``DRIFT``.
+significant count as neutral. A word takes the weight of its most specific feature that is significant or
+was seen in enough other documents. Neutral words cost ``DRIFT``.
 
 Scoring: a linear-time scan finds all maximal scoring segments of a text. Segment scores are calibrated as
 extremes: under the score distribution of clean words the best of n places exceeds S about K*n*exp(-lambda*S)
@@ -81,7 +81,7 @@ class _Buckets(dict):
 
 @dataclass(frozen=True)
 class Weights:
-    """Log-odds per bucket; NaN where too few documents had the feature, ``-drift`` where it is neutral."""
+    """Log-odds per bucket; NaN where too little is known, ``-DRIFT`` where it is neutral."""
 
     values: np.ndarray
 
@@ -109,8 +109,9 @@ def weigh(toxic: np.ndarray, clean: np.ndarray, toxic_docs: float, clean_docs: f
         return count * np.log(np.maximum(count, 1e-12) / expected)
 
     ratio = 2 * np.maximum(part(toxic, toxic_docs) + part(clean, clean_docs), 0)
-    neutral = (np.sqrt(ratio) < LEAST_Z) | (delta <= DRIFT)
-    return Weights(np.where(seen >= LEAST_SEEN, np.where(neutral, -DRIFT, delta), np.nan).astype(np.float32))
+    toxic_sign = (np.sqrt(ratio) >= LEAST_Z) & (delta > DRIFT)
+    # neither toxic nor seen in enough other documents: left to the less specific features
+    return Weights(np.where(toxic_sign, delta, np.where(clean >= LEAST_SEEN, -DRIFT, np.nan)).astype(np.float32))
 
 
 class Scorer(dict):
