@@ -22,7 +22,7 @@ def minimise(
     step: float = 1e-3,
     tolerance: float = 1e-9,
 ) -> tuple[np.ndarray, float, int]:
-    """Return (point, value, iterations used).
+    """Return (point, value, iterations used); raise if the iterations do not suffice.
 
     Every call scores the damped steps together with the stencil around the undamped one, so a
     step that needs no damping costs one call.
@@ -47,7 +47,7 @@ def minimise(
         if gain < tolerance * max(1.0, abs(value)):
             return point, float(min(value, results[best])), used
         around = np.append(results[0], results[len(trials) :]) if best == 0 else score(stencil(point))
-    return point, float(around[0]), iterations
+    raise RuntimeError(f"no convergence in {iterations} iterations; last point {point.tolist()}, value {float(around[0])}")
 
 
 def _steps(point: np.ndarray, around: np.ndarray, pairs: list[tuple[int, int]], step: float) -> list[np.ndarray]:

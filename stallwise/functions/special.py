@@ -36,5 +36,5 @@ def hypergeometric(a, b, c, z, tolerance: float = 1e-15, terms: int = 100_000) -
         term = term * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
         total = total + term
         if np.all(np.abs(term) <= tolerance * np.abs(total)):
-            break
-    return total
+            return total
+    raise ArithmeticError(f"2F1 did not settle in {terms} terms, largest argument {z.max()}")

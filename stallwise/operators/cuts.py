@@ -109,8 +109,8 @@ def _any(tests: list[Column]) -> Column:
 
 
 def key_order(key: tuple) -> tuple:
-    """Python sort key of a cut key, NULLs last."""
-    return tuple((v is None, v) for v in key)
+    """Python sort key of a cut key: NaN after all numbers, NULLs last, as Spark compares them."""
+    return tuple((v is None, v != v, 0 if v != v else v) for v in key)
 
 
 def cut_points(
@@ -284,8 +284,8 @@ def with_ntile(df: DataFrame, columns: Sequence[str], tiles: int, name: str, **l
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], **limits) -> list[float | None]:
-    """Exact quantiles with linear interpolation; NULLs are left out. All None when nothing is left."""
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    """Exact quantiles with linear interpolation; NULLs and NaN are left out. All None when nothing is left."""
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     rows = values.count()
     if rows == 0:
         return [None] * len(probabilities)

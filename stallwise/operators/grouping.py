@@ -7,40 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a group should not reach a single task uncombined if it has this many rows, or if it has at
-# least the smaller number and fills half a shuffle partition
-HEAVY_ROWS = 5_000_000
-NOTICEABLE_ROWS = 100_000
-SAMPLED_ROWS = 1_000_000
-MAX_SAMPLED_SHARE = 0.1
-MIN_HITS = 5
-
-
-def has_heavy_group(df: DataFrame, key: str) -> bool:
-    """Whether some key probably has too many rows for one task, from a sample of the key column.
-
-    The answer only chooses between two plans with the same result.
-    """
-    rows = df.count()
-    if rows < NOTICEABLE_ROWS:
-        return False
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = min(HEAVY_ROWS, max(NOTICEABLE_ROWS, rows / (2 * partitions)))
-    share = min(MAX_SAMPLED_SHARE, SAMPLED_ROWS / rows)
-    counts = df.select(key).sample(share, seed=17).groupBy(key).agg(F.count("*").alias("n"))
-    hits = counts.agg(F.max("n")).first()[0] or 0
-    return hits >= MIN_HITS and hits / share >= limit
-
-
 def combined_on(df: DataFrame, key: str, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``combine`` (a grouping on ``key`` and more columns) with a result partitioned on ``key``.
 
-    Normally the rows are shuffled once, on the key, and everything grouped within the key after
-    that needs no further shuffle. With a heavy key they are combined on the map side first.
+    The rows are always combined on the map side, so a heavy key reaches its task as one row per
+    task and group; only the combined rows are shuffled on the key.
     """
-    if has_heavy_group(df, key):
-        return combine(df).repartition(key)
-    return combine(df.repartition(key))
+    return combine(df).repartition(key)
 
 
 def smallest_mode(value: str, weight: str) -> Column:

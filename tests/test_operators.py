@@ -99,21 +99,24 @@ def test_rank_within_groups_that_span_ranges(spark, ranges):
     assert actual == expected
 
 
-def test_heavy_groups_change_the_plan_but_not_the_result(spark, monkeypatch):
+def test_groups_are_combined_before_the_shuffle_on_the_key(spark):
     from stallwise.operators import grouping
 
     rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i % 4, i) for i in range(900)]
     df = materialise(spark.createDataFrame(rows, "k string, c int, v int"), "test")
-    combine = lambda d: d.groupBy("k", "c").agg(F.sum("v").alias("v"))
-    light = grouping.combined_on(df, "k", combine)
-    monkeypatch.setattr(grouping, "NOTICEABLE_ROWS", 250)
-    monkeypatch.setattr(grouping, "MAX_SAMPLED_SHARE", 1.0)
-    assert grouping.has_heavy_group(df, "k") and not grouping.has_heavy_group(df, "v")
-    heavy = grouping.combined_on(df, "k", combine)
-    assert sorted(light.collect()) == sorted(heavy.collect())
-    # further grouping within the key needs no other shuffle on the light path, one more on the heavy one
-    shuffles = [
-        d.groupBy("k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString().count("Exchange")
-        for d in (light, heavy)
-    ]
-    assert shuffles == [1, 2]
+    combined = grouping.combined_on(df, "k", lambda d: d.groupBy("k", "c").agg(F.sum("v").alias("v")))
+    expected = df.groupBy("k", "c").agg(F.sum("v").alias("v"))
+    assert sorted(combined.collect()) == sorted(expected.collect())
+    # one shuffle of partial sums, one of the combined rows; further grouping within the key needs none
+    plan = combined.groupBy("k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.rindex("partial_sum") > plan.rindex("Exchange")
+
+
+def test_quantiles_leave_out_nan_whatever_the_size(spark):
+    for rows in (2_000, 6_000):
+        values = [float(i) for i in range(rows)]
+        df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),)] * 2 + [(None,)], "v double")
+        df = materialise(df, "test")
+        for limit in (50_000, 50):
+            found = exact_quantiles(df, "v", [0.0, 0.5, 0.9], collect_rows=limit)
+            assert found == pytest.approx(np.quantile(values, [0.0, 0.5, 0.9]).tolist())

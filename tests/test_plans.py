@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from stallwise.jobs import JOBS
-from stallwise.operators import cuts, grouping, running
+from stallwise.operators import cuts, running
 from stallwise.sources import driver_tables
 from stallwise.warehouse import Warehouse
 from tests.conftest import SMALL
@@ -78,11 +78,7 @@ def test_results_do_not_depend_on_partitions(spark, base, partitions):
 
 
 def test_results_do_not_depend_on_size_limits(spark, base, monkeypatch):
-    """The paths for heavy keys, many ranges and sampled cuts give the same rows."""
-    monkeypatch.setattr(grouping, "HEAVY_ROWS", 1)
-    monkeypatch.setattr(grouping, "NOTICEABLE_ROWS", 1)
-    monkeypatch.setattr(grouping, "MAX_SAMPLED_SHARE", 1.0)
-    monkeypatch.setattr(grouping, "MIN_HITS", 1)
+    """The paths for many ranges and sampled cuts give the same rows."""
     monkeypatch.setattr(running, "MIN_ROWS_PER_RANGE", 20)
     monkeypatch.setattr(cuts.cut_points, "__defaults__", (None, 50, 40, frozenset()))
     fresh = Warehouse(driver_tables.load(spark, SMALL), datetime(1999, 1, 1))
