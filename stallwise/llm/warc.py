@@ -1,10 +1,12 @@
 """WARC archives: write one record per page, read them back, salvage what follows damage.
 
 Writing: payloads of 100 bytes or more that are equal are stored once; the smallest page id becomes the
-``response`` and the others ``revisit`` records that refer to it. Records are built by native expressions
-and written by Spark's text sink, whose committer copes with lost executors and any file system; the line
-separator supplies the last line feed of each record. The number of files follows from the bytes, so an
-archive stays near ``file_bytes`` and one task holds one archive.
+``response`` and the others ``revisit`` records that refer to it. Records are built by native expressions,
+each becomes a gzip member of its own, and Spark's text sink writes the members: its committer copes with
+lost executors and any file system. The line separator is a zero byte; it takes the place of a member's last
+byte, which is zero for records under 16 MB (a larger member is followed by it, and the reader skips zeros
+between members). The number of files follows from the bytes, so an archive holds about ``file_bytes`` before
+compression and one task holds one archive.
 
 Reading: each archive is one task's work and is parsed in order. A record must have a version line, headers,
 a length that ends before a record end, and a block that matches its digest. After a failed check the reader
@@ -18,6 +20,7 @@ responses; an empty table writes no record; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import materialise, new_path
-from .base import text_of
+from .base import small_batches, text_of
 
 SMALLEST_SHARED = 100
 FILE_BYTES = 32 << 20
@@ -101,10 +104,18 @@ def write_archives(
         line,
         line,
         F.col("_block"),
-        F.lit("\r\n\r"),  # and the sink's separator
+        F.lit("\r\n\r\n"),
     )
     files = max(1, -(-total // file_bytes))
-    rows.select(record.alias("value")).repartition(files).write.option("lineSep", "\n").text(path)
+
+    @F.pandas_udf("binary")
+    def member(records: pd.Series) -> pd.Series:
+        packed = [gzip.compress(r.encode(), 6, mtime=0) for r in records]
+        return pd.Series([m[:-1] if m[-1] == 0 else m for m in packed], dtype=object)
+
+    small_batches(rows.sparkSession)
+    members = rows.select(member(record).alias("value")).repartition(files)
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
 
 
 class Record(NamedTuple):
@@ -205,6 +216,9 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
         return
     at = 0
     while at < len(data):
+        if data[at] == 0:  # padding
+            at += 1
+            continue
         member = _member(data, at)
         if isinstance(member, str):
             begin, reason = at, member
