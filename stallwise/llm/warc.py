@@ -59,6 +59,8 @@ def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     sizes = materialise(sizes, "warc_payloads")
     total = sizes.agg(F.sum(F.col("_bytes") + 700 * F.col("_n"))).first()[0] or 0
     shared = sizes.filter((F.col("_n") > 1) & (F.col("_bytes") >= SMALLEST_SHARED)).select("_digest", "_first")
+    # written by itself, so that its own size decides how it is joined
+    shared = materialise(shared, "warc_shared")
     joined = keyed.join(shared, "_digest", "left")
     revisits = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     return joined.withColumn("_refers", F.when(revisits, F.col("_first"))).drop("_first"), total
@@ -110,7 +112,7 @@ def write_archives(
 
     @F.pandas_udf("binary")
     def member(records: pd.Series) -> pd.Series:
-        packed = [gzip.compress(r.encode(), 6, mtime=0) for r in records]
+        packed = [gzip.compress(r.encode(), 1, mtime=0) for r in records]
         return pd.Series([m[:-1] if m[-1] == 0 else m for m in packed], dtype=object)
 
     small_batches(rows.sparkSession)
