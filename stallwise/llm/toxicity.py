@@ -274,11 +274,11 @@ def _counted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 key, at = np.unique(np.concatenate(keys), return_inverse=True)
                 yield pd.DataFrame({"key": key, "n": np.bincount(at, np.concatenate(weights))})
 
-    counts = sample.mapInPandas(count, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInPandas(count, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((every + 1, 2, 2))
-    key = counts["key"].to_numpy(np.int64)
+    key = counts["key"].to_numpy()
     # rounded, so that the order of summation does not show
-    table[key >> 2, key >> 1 & 1, key & 1] = counts["n"].to_numpy(np.float64).round(6)
+    table[key >> 2, key >> 1 & 1, key & 1] = counts["n"].to_numpy().round(6)
     return table[:, :, 1].T, table[:, :, 0].T
 
 
@@ -317,7 +317,8 @@ def fit(
 
     seen = sample.mapInPandas(
         measure, "toxic int, weight double, words long, parts array<double>, grown double, positives long"
-    ).toPandas()
+    )
+    seen = seen.toArrow().to_pandas()
     if seen["toxic"].nunique() < 2:
         return Model(weights)
     calm = seen[seen["toxic"] == 0]
