@@ -4,6 +4,9 @@ Spark's own multi-line mode gives a whole file to one task. Here the file is rea
 ordinary splits. A line starts a record when the quotes before it are balanced; that parity is
 counted inside each split and carried over the few rows that describe the splits. Most records
 are one line and go straight on; only the lines of longer records are grouped.
+
+Only quotes at the edge of a cell count: a stray one inside an unquoted cell (5" pipe) opens nothing.
+An unquoted cell that ends in a lone quote still looks like the end of a quoted one.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# a quote that opens or closes a cell, in a line without its doubled quotes
+CELL_QUOTE = r'(?<![^,])"|"(?=,|\r?$)'
+
 
 def first_line(spark: SparkSession, path: str) -> str:
     row = spark.read.option("lineSep", "\n").text(path).first()
@@ -28,7 +34,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("line"),
             F.col("value"),
         )
-        .withColumn("odd", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
+        .withColumn("odd", F.regexp_count(F.replace("value", F.lit('""'), F.lit("")), F.lit(CELL_QUOTE)) % 2)
     )
     # a split is at most spark.sql.files.maxPartitionBytes long, so these windows are bounded
     split = Window.partitionBy("file", "block").orderBy("line")

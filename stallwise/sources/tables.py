@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,14 +105,27 @@ def read_jdbc(
 def rebuild_tables(raw: RawTables, folder: str) -> RawTables:
     """Replace all nine tables under ``folder``.
 
-    ``raw`` must not read from ``folder`` itself: overwriting removes the old files first.
+    All nine are written to a staging folder first and take the place of the old ones by renaming, so a
+    load that fails leaves the old tables as they were, and ``raw`` may read from ``folder`` itself.
     """
     spark = raw.orders.sparkSession
+    staged = f"{folder}/_staged-{uuid.uuid4().hex[:12]}"
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for table, df in raw.items():
+            df.write.parquet(f"{staged}/{table}")
+    except Exception:
+        files.delete(path_of(staged), True)
+        raise
     fresh = {}
     for table, df in raw.items():
-        path = f"{folder}/{table}"
-        df.write.mode("overwrite").parquet(path)
-        fresh[table] = spark.read.schema(df.schema).parquet(path)
+        target = f"{folder}/{table}"
+        files.delete(path_of(target), True)
+        if not files.rename(path_of(f"{staged}/{table}"), path_of(target)):
+            raise OSError(f"{target}: not replaced; the new table is in {staged}")
+        fresh[table] = spark.read.schema(df.schema).parquet(target)
+    files.delete(path_of(staged), True)
     return RawTables(**fresh)
 
 

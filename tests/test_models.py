@@ -2,6 +2,7 @@
 
 import math
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -236,6 +237,25 @@ def test_multiline_records_across_splits(spark, tmp_path):
     assert found == expected
 
 
+def test_stray_quote_keeps_all_records(spark, tmp_path):
+    names = tables.SCHEMAS["order_reviews"].fieldNames()
+    rows = [f"r{i},o{i},5,t,{'5\" pipe' if i == 10 else 'fine'},2018-01-01 00:00:00,2018-01-02 00:00:00" for i in range(1000)]
+    _write(tmp_path, "reviews.csv", "\n".join([",".join(names), *rows]) + "\n")
+    found = {r.review_id: r.review_comment_message for r in tables.read_csv_table(spark, str(tmp_path), "order_reviews").collect()}
+    assert len(found) == 1000 and found["r10"] == '5" pipe' and found["r999"] == "fine"
+
+
+def test_failed_rebuild_keeps_the_old_tables(spark, small):
+    folder = new_path(spark, "rebuild")
+    tables.rebuild_tables(small.raw, folder)
+    broken = replace(small.raw, sellers=small.raw.sellers.withColumn("seller_city", F.raise_error(F.lit("broken"))))
+    with pytest.raises(Exception, match="broken"):
+        tables.rebuild_tables(broken, folder)
+    assert tables.read_tables(spark, folder).sellers.count() == small.raw.sellers.count()
+    again = tables.rebuild_tables(tables.read_tables(spark, folder), folder)
+    assert again.orders.count() == small.raw.orders.count()
+
+
 def test_ingest_bad_cells(spark, csv_folder):
     header = ",".join(tables.SCHEMAS["sellers"].fieldNames())
     _write(csv_folder, tables.CSV_FILES["sellers"], header + "\ns1,12x,city,SP\n")
