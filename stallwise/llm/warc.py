@@ -9,9 +9,11 @@ between members). The number of files follows from the bytes, so an archive hold
 compression and one task holds one archive.
 
 Reading: each archive is one task's work and is parsed in order. A record must have a version line, headers,
-a length that ends before a record end, and a block that matches its digest. After a failed check the reader
-looks for the next gzip member or version line that begins a valid record, goes on from there, and reports
-the bytes between as a quarantined gap. Plain and gzip (one or more records per member) archives are read.
+a length that ends before a record end, and a block that matches its digest. At each place a gzip member or a
+version line may follow, whatever the archive began with. After a failed check the reader looks for the nearest
+member or version line that begins a valid record, goes on from there, and reports the bytes between as a
+quarantined gap. Plain, gzip (one or more records per member) and mixed archives are read. What a damaged member
+inflated before its error is read too; as its checksum vouches for nothing, a digest must prove each such record.
 
 Edge cases: a null payload is empty, a null url too; a null page id is written as ``null`` and read back as
 null, and is never the response of a group that has another id; rows that repeat the smallest page id are all
@@ -43,6 +45,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 END = b"\r\n\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_EITHER = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_PIECE = 1 << 16
 
 
 def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, int]:
@@ -130,8 +134,8 @@ class Record(NamedTuple):
     payload: bytes
 
 
-def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
-    """The record that begins at ``at`` and the place after it, or what is wrong."""
+def _parse(data: bytes, at: int, proof: bool = False) -> tuple[Record, int] | str:
+    """The record that begins at ``at`` and the place after it, or what is wrong; ``proof`` asks for a digest."""
     if not _START.match(data, at):
         return "no version line"
     head_end = data.find(END, at)
@@ -154,6 +158,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     algorithm, _, digest = headers.get(b"warc-block-digest", "").partition(":")
     if algorithm == "sha256" and hashlib.sha256(block).hexdigest() != digest:
         return "block digest differs"
+    proven = algorithm == "sha256"
     http, _, payload = block.partition(END)
     algorithm, _, digest = headers.get(b"warc-payload-digest", "").partition(":")
     digest = digest if algorithm == "sha256" else None
@@ -166,7 +171,10 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
         actual = hashlib.sha256(payload).hexdigest()
         if digest is not None and digest != actual:
             return "payload digest differs"
+        proven = proven or digest is not None
         digest = actual
+    if proof and not proven:
+        return "no digest in a damaged member"
     record = Record(
         kind,
         headers.get(b"warc-record-id", ""),
@@ -179,61 +187,109 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     return record, stop + len(END)
 
 
-def _records(data: bytes, base: int = 0) -> Iterator[tuple[int, int, Record | str]]:
-    """(offset, length, record or reason) over plain data; offsets start at ``base``."""
+def _records(data: bytes, proof: bool = False) -> Iterator[tuple[int, int, Record | str]]:
+    """(offset, length, record or reason) over plain data."""
     at = 0
     while at < len(data):
-        parsed = _parse(data, at)
+        parsed = _parse(data, at, proof)
         if not isinstance(parsed, str):
-            yield base + at, parsed[1] - at, parsed[0]
+            yield at, parsed[1] - at, parsed[0]
             at = parsed[1]
             continue
         reason, begin = parsed, at
         found = _START.search(data, at + 1)
-        while found and isinstance(_parse(data, found.start()), str):
+        while found and isinstance(_parse(data, found.start(), proof), str):
             found = _START.search(data, found.start() + 1)
         at = found.start() if found else len(data)
-        yield base + begin, at - begin, reason
+        yield begin, at - begin, reason
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Content of the gzip member at ``at`` and the place after it, or what is wrong."""
+class Member(NamedTuple):
+    """Content of a gzip member and the place after it; if damaged, what was inflated up to the reason, and of
+    that only what ends with the last proven record."""
+
+    content: bytes
+    after: int
+    reason: str | None
+
+
+def _member(data: bytes, at: int) -> Member:
+    view = memoryview(data)
     reader = zlib.decompressobj(31)
+    parts, place, reason = [], at, "member does not end"
     try:
-        content = reader.decompress(memoryview(data)[at:])
+        while place < len(data) and not reader.eof:
+            parts.append(reader.decompress(view[place : place + _PIECE]))
+            place += len(view[place : place + _PIECE])
     except zlib.error as error:
-        return str(error)
-    if not reader.eof:
-        return "member does not end"
-    return content, len(data) - len(reader.unused_data)
+        reason = str(error)
+        # the failed piece again, byte by byte
+        reader = zlib.decompressobj(31)
+        parts = [reader.decompress(view[at:place])]
+        try:
+            while place < len(data):
+                parts.append(reader.decompress(view[place : place + 1]))
+                place += 1
+        except zlib.error:
+            pass
+    content = b"".join(parts)
+    if reader.eof:
+        return Member(content, place - len(reader.unused_data), None)
+    sound = max((begin + size for begin, size, found in _records(content, proof=True) if isinstance(found, Record)), default=0)
+    if not sound:
+        return Member(b"", at, reason)
+    reader = zlib.decompressobj(31)
+    reader.decompress(view[at:place], sound)
+    return Member(content[:sound], place - len(reader.unconsumed_tail), reason)
+
+
+def _resumes(data: bytes, at: int) -> bool:
+    """Whether a valid record begins at ``at``, as it is or in a gzip member."""
+    if data.startswith(_MEMBER, at):
+        member = _member(data, at)
+        return any(isinstance(found, Record) for *_, found in _records(member.content, member.reason is not None))
+    return not isinstance(_parse(data, at), str)
+
+
+def _next(data: bytes, at: int) -> int:
+    """The nearest place from ``at`` on where a valid record of either kind begins, or the end."""
+    found = _EITHER.search(data, at)
+    while found and not _resumes(data, found.start()):
+        found = _EITHER.search(data, found.start() + 1)
+    return found.start() if found else len(data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
     """(offset, length, record or the reason of a quarantined gap) over a whole archive.
 
-    In gzip archives offset and length are those of the member.
+    For records in gzip members offset and length are those of the member, of a damaged one up to its last
+    proven record.
     """
-    if not data.startswith(_MEMBER[:2]):
-        yield from _records(data)
-        return
     at = 0
+    padded = False  # zeros are padding only after a member
     while at < len(data):
-        if data[at] == 0:  # padding
+        if padded and data[at] == 0:
             at += 1
             continue
-        member = _member(data, at)
-        if isinstance(member, str):
-            begin, reason = at, member
-            at = data.find(_MEMBER, at + 1)
-            while at >= 0 and isinstance(_member(data, at), str):
-                at = data.find(_MEMBER, at + 1)
-            at = len(data) if at < 0 else at
-            yield begin, at - begin, reason
-            continue
-        content, after = member
-        for _, _, found in _records(content):
-            yield at, after - at, found
-        at = after
+        begin, padded = at, data.startswith(_MEMBER, at)
+        if padded:
+            content, after, reason = _member(data, at)
+            for *_, found in _records(content, reason is not None):
+                yield at, after - at, found
+            if reason is None:
+                at = after
+                continue
+            begin = after
+        else:
+            parsed = _parse(data, at)
+            if not isinstance(parsed, str):
+                yield at, parsed[1] - at, parsed[0]
+                at = parsed[1]
+                continue
+            reason = parsed
+        at = _next(data, max(begin, at + 1))
+        padded = False
+        yield begin, at - begin, reason
 
 
 READ_SCHEMA = (

@@ -380,8 +380,8 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def record(n: int) -> bytes:
-    payload = b"payload %d" % n * 5
+def record(n: int, more: bytes = b"") -> bytes:
+    payload = b"payload %d" % n * 5 + more
     block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}\r\n"
     return head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
@@ -402,6 +402,45 @@ def test_salvage(packed):
     assert sum(n for _, n, _ in found) == len(data)
 
 
+def found_in(data: bytes) -> tuple[list[str], list[tuple[int, int]]]:
+    found = list(warc.salvage(bytes(data)))
+    good = [r.record_id[10:-1] for _, _, r in found if not isinstance(r, str)]
+    return good, [(at, n) for at, n, r in found if isinstance(r, str)]
+
+
+@pytest.mark.parametrize("flip", [0, 1, 2])
+def test_salvage_looks_for_members_and_version_lines(flip):
+    packed = [gzip.compress(record(n), mtime=0) for n in range(4)]
+    damaged = bytearray(b"".join(packed))
+    damaged[flip] ^= 0xFF
+    assert found_in(damaged) == (["1", "2", "3"], [(0, len(packed[0]))])
+    # plain records after a gap among members, and the other way round
+    mixed = packed[0] + b"lost" + record(1) + packed[2] + record(3)
+    assert found_in(mixed) == (["0", "1", "2", "3"], [(len(packed[0]), 4)])
+    plain = bytearray(record(0) + record(1))
+    plain[flip] ^= 0xFF
+    assert found_in(bytes(plain) + packed[2]) == (["1", "2"], [(0, len(record(0)))])
+
+
+def test_salvage_reads_a_damaged_member_up_to_its_error():
+    rng = random.Random(1)
+    noise = [b"".join(b"%d " % rng.randrange(10**9) for _ in range(200)) for _ in range(6)]
+    whole = gzip.compress(b"".join(record(n, noise[n]) for n in range(6)), mtime=0)
+    after = gzip.compress(record(9), mtime=0)
+    for cut in (1, 5, 300):  # the length, the checksum, the last record
+        damaged = bytearray(whole)
+        damaged[-cut] ^= 0xFF
+        good, gaps = found_in(bytes(damaged) + after)
+        assert good[:5] == ["0", "1", "2", "3", "4"] and good[-1] == "9" and good.count("5") == (cut < 9)
+        assert sum(gaps[-1]) == len(whole)
+    good, gaps = found_in(whole[:-300] + after)
+    assert good == ["0", "1", "2", "3", "4", "9"] and sum(gaps[-1]) == len(whole) - 300
+    # stored blocks hold version lines as they are: no record comes twice
+    stored = bytearray(gzip.compress(b"".join(record(n) for n in range(4)), 0, mtime=0))
+    stored[-5] ^= 0xFF
+    assert found_in(stored)[0] == ["0", "1", "2", "3"]
+
+
 def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     rows = packed.collect()
