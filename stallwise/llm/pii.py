@@ -1,10 +1,12 @@
 """Personal data with offset-preserving deobfuscation.
 
-Base identifiers (email, ip, card, phone) are found in the text as it is. Then a transducer rewrites
-disguises - homoglyphs and full-width forms, invisible characters, runs of spelled digits, ``at`` and
-``dot`` written out - and notes for every piece of its output where it came from. The same detectors run on
-the rewritten text, and a span that touches a rewritten piece is mapped back to source characters and
-added, unless it overlaps a base span of its kind. Base spans always stay.
+Base identifiers (email, ip, card, phone) are found in the text as it is. Then transducers rewrite
+disguises one after the other - first homoglyphs, full-width forms and invisible characters, then spelled
+digits, then ``at``, ``dot`` and ``plus`` written out - and note for every piece of their output where it came
+from. The same detectors run on the rewritten text, with and without the spelled digits, as a digit word
+after an identifier would else be taken into it. A span that touches a rewritten piece is mapped back through
+the passes to source characters and added, unless it overlaps an earlier span of its kind: base spans come
+first and always stay, then those found without the spelled digits.
 
 All detectors are linear in the length of the text. Offsets are code points, ends exclusive.
 
@@ -45,26 +47,27 @@ _HOMOGLYPHS = dict(
 )
 # full-width forms are a fixed distance from ASCII; these code points print nothing
 _GLYPHS = _HOMOGLYPHS | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)} | {chr(c): "" for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
-_DIGITS = {
-    word: str(n)
-    for words in ("zero one two three four five six seven eight nine",)
-    for n, word in enumerate(words.split())
-} | {"oh": "0", "plus": "+"}
+_GLYPH = re.compile(f"[{re.escape(''.join(_GLYPHS))}]+")
+_DIGITS = {word: str(n) for n, word in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _DIGIT = r"(?:zero|one|two|three|four|five|six|seven|eight|nine)"
+# a run of digit words is one number; "oh" counts after another digit word or right before one
+_SPELLED = re.compile(
+    rf"\b(?=[zotfsen])(?:oh[\x20-])?{_DIGIT}\b(?:[\x20-](?:{_DIGIT}|oh)\b)*", re.IGNORECASE | re.ASCII
+)
 _AT = r"\x20?[\[({<]\x20?at\x20?[\])}>]\x20?"
 _DOT = r"\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 # fixed values: common last labels of host names
 _TOP = r"(?:com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu|it|nl|ch|at|us|ca|au)\b"
-# bare "at" and "dot" count only in the form "name at host dot top" with a common last label
-_TRIGGER = re.compile(
-    rf"(?P<glyph>(?-i:[{re.escape(''.join(_GLYPHS))}]+))"
-    rf"|(?P<at>{_AT}|(?<=[A-Za-z0-9])\x20at\x20(?=(?:{_LABEL}(?:{_DOT}|\x20dot\x20|\.)){{1,6}}{_TOP}))"
-    rf"|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\x20dot\x20(?=(?:{_LABEL}(?:{_DOT}|\x20dot\x20|\.)){{0,6}}{_TOP}))"
-    rf"|(?P<spelled>\b(?:plus[\x20-])?{_DIGIT}(?:[\x20-](?:{_DIGIT}|oh)){{3,}}\b)",
+# bare "at" and "dot" count only in the form "name at host dot top" with a common last label, "dot" between
+# digits as well; "plus" counts before a digit
+_WRITTEN = re.compile(
+    rf"(?P<at>{_AT}|(?<=[A-Za-z0-9])\x20at\x20(?=(?:{_LABEL}(?:{_DOT}|\x20dot\x20|\.)){{1,6}}{_TOP}))"
+    rf"|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\x20dot\x20(?=(?:{_LABEL}(?:{_DOT}|\x20dot\x20|\.)){{0,6}}{_TOP})"
+    r"|(?<=[0-9])\x20dot\x20(?=[0-9]))"
+    r"|(?P<plus>\bplus[\x20-]?(?=[0-9]))",
     re.IGNORECASE | re.ASCII,
 )
-_SPELLED = re.compile(r"[\x20-]")
 
 
 class Span(NamedTuple):
@@ -136,8 +139,24 @@ class Rewritten(NamedTuple):
         return begin, finish, changed
 
 
-def rewrite(text: str) -> Rewritten | None:
-    """Undo the disguises; None if the text has none."""
+def _glyphs(found: re.Match) -> Iterator[tuple[str, int, int]]:
+    for k, glyph in enumerate(found[0], found.start()):
+        yield _GLYPHS[glyph], k, k + 1
+
+
+def _digits(found: re.Match) -> Iterator[tuple[str, int, int]]:
+    at = found.start()
+    for word in found[0].lower().replace("-", " ").split(" "):
+        yield _DIGITS[word], at, at + len(word)
+        at += len(word) + 1
+
+
+def _signs(found: re.Match) -> Iterator[tuple[str, int, int]]:
+    yield "@" if found["at"] else "." if found["dot"] else "+", *found.span()
+
+
+def _rewritten(text: str, pattern: re.Pattern, pieces_of) -> Rewritten | None:
+    """One pass: every match replaced by the pieces (text, start, end) made of it; None if there is no match."""
     pieces: list[str] = []
     out: list[int] = []
     source: list[tuple[int, int, bool]] = []
@@ -151,19 +170,11 @@ def rewrite(text: str) -> Rewritten | None:
             source.append((start, end, new))
             length += len(piece)
 
-    for found in _TRIGGER.finditer(text):
+    for found in pattern.finditer(text):
         start, end = found.span()
         put(text[done:start], done, start, False)
-        if found["glyph"]:
-            for k in range(start, end):
-                put(_GLYPHS[text[k]], k, k + 1, True)
-        elif found["spelled"]:
-            at = start
-            for word in _SPELLED.split(found[0].lower()):
-                put(_DIGITS[word], at, at + len(word), True)
-                at += len(word) + 1
-        else:
-            put("@" if found["at"] else ".", start, end, True)
+        for piece in pieces_of(found):
+            put(*piece, True)
         done = end
     if not done:
         return None
@@ -171,21 +182,34 @@ def rewrite(text: str) -> Rewritten | None:
     return Rewritten("".join(pieces), out, source)
 
 
+def rewrites(text: str) -> Iterator[list[Rewritten]]:
+    """The passes that undo the disguises, each over the text of the one before; first without spelled digits."""
+    glyphs = None if text.isascii() else _rewritten(text, _GLYPH, _glyphs)
+    plain = glyphs.text if glyphs else text
+    spelled = _rewritten(plain, _SPELLED, _digits)
+    for digits in [None, spelled] if spelled else [None]:
+        signs = _rewritten(digits.text if digits else plain, _WRITTEN, _signs)
+        passes = [p for p in (glyphs, digits, signs) if p]
+        if passes and passes[-1].text:
+            yield passes
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, base and deobfuscated spans), each by start, then kind."""
     base = base_spans(text)
-    rewritten = rewrite(text)
-    if rewritten is None or not rewritten.text:
-        return base, base
-    added = []
-    taken = {kind: [(s.start, s.end) for s in base if s.kind == kind] for kind in KINDS}
-    for span in base_spans(rewritten.text):
-        start, end, new = rewritten.back(span.start, span.end)
-        if new:
-            near = bisect.bisect_left(taken[span.kind], (end,))
-            if near == 0 or taken[span.kind][near - 1][1] <= start:
-                added.append(Span(span.kind, start, end))
-    return base, sorted(base + added, key=lambda s: (s.start, _ORDER[s.kind]))
+    spans = list(base)
+    for passes in rewrites(text):
+        taken = {kind: sorted((s.start, s.end) for s in spans if s.kind == kind) for kind in KINDS}
+        for span in base_spans(passes[-1].text):
+            start, end, new = span.start, span.end, False
+            for made in reversed(passes):
+                start, end, changed = made.back(start, end)
+                new = new or changed
+            if new:
+                near = bisect.bisect_left(taken[span.kind], (end,))
+                if near == 0 or taken[span.kind][near - 1][1] <= start:
+                    spans.append(Span(span.kind, start, end))
+    return base, sorted(spans, key=lambda s: (s.start, _ORDER[s.kind]))
 
 
 def _joined(spans: list[Span]) -> str:

@@ -225,6 +225,19 @@ def test_base_identifiers_match_the_patterns():
         ("call plus one two three four five six seven eight nine zero one please", "plus one two three four five six seven eight nine zero one", "phone"),
         ("ip １９２.168.0.1 up", "１９２.168.0.1", "ip"),
         ("card 4111 1111​ 1111 1111 ok", "4111 1111​ 1111 1111", "card"),
+        ("ip 192 dot 168 dot 0 dot 1 up", "192 dot 168 dot 0 dot 1", "ip"),
+        ("ip one nine two dot one six eight dot zero dot one up", "one nine two dot one six eight dot zero dot one", "ip"),
+        ("ip 192 dot 168 [dot] zero dot １ up", "192 dot 168 [dot] zero dot １", "ip"),
+        ("call plus one (five five five) one two three four five six seven now", "plus one (five five five) one two three four five six seven", "phone"),
+        ("call +1 555 one two three 4567 now", "+1 555 one two three 4567", "phone"),
+        ("call plus 44 20 7946 0958 now", "plus 44 20 7946 0958", "phone"),
+        ("call plus 44 oh two oh 7946 0958 now", "plus 44 oh two oh 7946 0958", "phone"),
+        ("mail jo at hоst dot com now", "jo at hоst dot com", "email"),
+        ("mail jo аt host dоt cоm now", "jo аt host dоt cоm", "email"),
+        ("mail jo a​t host dot com now", "jo a​t host dot com", "email"),
+        ("call рlus оne twо three four five six seven eight nine zero now", "рlus оne twо three four five six seven eight nine zero", "phone"),
+        ("card 4111 1111​ 1111 1111 one of two", "4111 1111​ 1111 1111", "card"),
+        ("card 4111 1111 1111 one one one one ok", "4111 1111 1111 one one one one", "card"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, part, kind):
@@ -235,6 +248,7 @@ def test_disguises_map_back_to_the_source(text, part, kind):
 
 def test_pii_edges(spark, docs, empty):
     assert pii.all_spans("the cat sat at the dot of noon, one two") == ([], [])
+    assert pii.all_spans("one dot two plus three is 4 plus five, seven at one dot, oh no") == ([], [])
     assert len(pii.base_spans("a" * 200_000 + "@")) == 0 and pii.masked("1" * 100_000) == "1" * 100_000
     rows = pii.find(docs).collect()
     assert len(rows) == 12 and pii.find(empty).count() == 0 and all(r.spans == "" for r in rows)
