@@ -4,10 +4,12 @@ Everything is a native expression within one row. The places of matches come fro
 same pattern: match k starts after the first k pieces and k - 1 matches.
 
 Entropy: a candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with a digit and a letter.
-Its character class (hex or base64) sets the window's entropy threshold. A window slides over the candidate;
-the counts per character are updated by the character that enters and the one that leaves, and with them the
-sum of c*log2(c), from which the entropy follows. The candidate is a secret if any window reaches the
-threshold and no allow-list pattern matches it. Base spans are never suppressed.
+A window slides over the candidate; the counts per character are updated by the character that enters and the
+one that leaves, and with them the sum of c*log2(c), from which the entropy follows. The characters inside the
+window set its threshold: hex (with a letter; plain numbers are none) or base64. Parts between ``=``, ``/``,
+``_`` and ``-`` that hold a public example are blanked, and windows that touch them do not count; paths of words
+and UUIDs are allowed as whole candidates. The candidate is a secret, as a whole, if any window reaches its
+threshold. Base spans are never suppressed.
 
 Edge cases: a null or empty text has no spans; repeated rows give equal rows; an empty table gives an empty
 result; candidates shorter than the window are not scanned; other columns are ignored. Offsets are code
@@ -28,19 +30,23 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 # a candidate holds a digit and a letter; plain words and numbers never start the scan
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
-HEX_ONLY = r"^[0-9A-Fa-f]+$"
+PARTS = r"[^=/_-]+|[=/_-]+"
 WINDOW = 20
 HEX_BITS = 3.0
 BASE64_BITS = 3.7
-# strings of public examples and placeholders, and paths of plain words
-ALLOWED = (
+# strings of public examples and placeholders, anywhere in a part
+EXAMPLES = (
     r"(?i)example|sample|dummy|placeholder|changeme|lorem",
     r"(?<same>.)\k<same>{7,}",
     r"(?i)0123456789|abcdefghij",
+)
+# whole candidates: paths of plain words, UUIDs
+ALLOWED = (
     r"^[A-Za-z+/_=-]*[0-9]{0,4}[/_=-]*$",
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
 )
-ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+BLANK = " "
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-" + BLANK
 
 
 def _matches(pattern: str, present: Column) -> Column:
@@ -78,11 +84,33 @@ def _clog(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
 
 
-def _peak_bits(candidate: Column) -> Column:
-    """Highest Shannon entropy of a window of the candidate, by counts updated one character at a time."""
+def _any(patterns: tuple[str, ...]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def _blanked(candidate: Column) -> Column:
+    """The candidate, as long as before, with blanks for the parts that hold a public example."""
+
+    def part(p: Column) -> Column:
+        return F.when(p.rlike(_any(EXAMPLES)), F.repeat(F.lit(BLANK), F.char_length(p))).otherwise(p)
+
+    parts = F.transform(F.regexp_extract_all(candidate, F.lit(PARTS), F.lit(0)), part)
+    return F.when(candidate.rlike(_any(EXAMPLES)), F.array_join(parts, "")).otherwise(candidate)
+
+
+def _windows(candidate: Column) -> Column:
+    """(peak, secret): the highest Shannon entropy of a window of the candidate and whether any window reaches
+    the threshold of its class, by counts updated one character at a time."""
     width = F.lit(WINDOW)
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak")
+        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
+        F.lit(0.0).alias("sum"),
+        F.lit(0.0).alias("peak"),
+        # places of the last blank, the last character that is not hex and the last hex letter
+        F.lit(0).alias("blank"),
+        F.lit(0).alias("other"),
+        F.lit(0).alias("letter"),
+        F.lit(False).alias("secret"),
     )
 
     def over(letters: Column) -> Column:
@@ -101,15 +129,38 @@ def _peak_bits(candidate: Column) -> Column:
                 lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0),
             )
             bits = F.when(i >= width, F.log2(width) - total / width).otherwise(F.lit(0.0))
-            return F.struct(moved.alias("counts"), total.alias("sum"), F.greatest(acc["peak"], bits).alias("peak"))
+            sign = F.substr(F.lit(ALPHABET), enters, F.lit(1))
+            blank = F.when(sign == BLANK, i).otherwise(acc["blank"])
+            other = F.when(sign.rlike("[^0-9A-Fa-f]"), i).otherwise(acc["other"])
+            letter = F.when(sign.rlike("[A-Fa-f]"), i).otherwise(acc["letter"])
+            is_hex = (other <= i - width) & (letter > i - width)
+            reached = (blank <= i - width) & (bits >= F.when(is_hex, F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS)))
+            return F.struct(
+                moved.alias("counts"),
+                total.alias("sum"),
+                F.greatest(acc["peak"], bits).alias("peak"),
+                blank.alias("blank"),
+                other.alias("other"),
+                letter.alias("letter"),
+                (acc["secret"] | reached).alias("secret"),
+            )
 
-        return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, slide, lambda acc: acc["peak"])
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(letters)),
+            start,
+            slide,
+            lambda acc: F.struct(acc["peak"].alias("peak"), acc["secret"].alias("secret")),
+        )
 
     letters = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     # a one-element array binds the letters once per candidate
     return F.element_at(F.transform(F.array(letters), over), 1)
 
 
+def _peak_bits(candidate: Column) -> Column:
+    return _windows(candidate)["peak"]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_assign, n_access, n_hex (base counts), base, spans.
 
@@ -128,9 +179,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     access = F.filter("_access", lambda x: F.char_length(x["match"]) >= 16)
 
     def secret(x: Column) -> Column:
-        bits = F.when(x["match"].rlike(HEX_ONLY), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
-        free = ~x["match"].rlike("|".join(f"(?:{p})" for p in ALLOWED))
-        return free & (_peak_bits(x["match"]) >= bits)
+        return ~x["match"].rlike(_any(ALLOWED)) & _windows(_blanked(x["match"]))["secret"]
 
     found = found.select(
         "_id", assign.alias("_assign"), access.alias("_access"), "_hex", F.filter("_candidate", secret).alias("_entropy")

@@ -348,6 +348,21 @@ def test_entropy_windows(spark):
     assert abs(peak - max(bits)) < 1e-9
 
 
+def test_entropy_threshold_and_allow_list_are_per_window(spark):
+    key, other = "4F3A91C7D20B8E65F13C7A9042DE", "x9Kq2LmZ7vT4pWc8RjYdAA"
+    secrets = [f"{front}{key}" for front in ("", "k_", "id=", "sig=", "path/", "sample/", "EXAMPLE_")]
+    secrets += [f"example={other}", f"{other}/sample", f"a-{'0' * 9}-{other}"]
+    harmless = ["n=73019482650917384625", f"sample{key}", "exampleX9Kq2LmZ7vT4pWc8RjYd", f"{key[:12]}_{'0' * 20}", f"id={'A1' * 15}"]
+    table = spark.createDataFrame(list(enumerate(secrets + harmless)), "doc_id long, text string")
+    scanned = secret_scan.scan(table).select("doc_id", secret_scan.listed("spans").alias("s"))
+    found = {r.doc_id: r.s for r in scanned.collect()}
+    assert [found[n] for n in range(len(found))] == [f"entropy:0:{len(s)}" for s in secrets] + [""] * len(harmless)
+    rng = random.Random(3)
+    keys = ["k_" + "".join(rng.choices("0123456789ABCDEF", k=28)) for _ in range(200)]
+    table = spark.createDataFrame([(n, k) for n, k in enumerate(keys)], "doc_id long, text string")
+    assert secret_scan.scan(table).filter(F.size("spans") > 0).count() > 180
+
+
 def test_maximal_segments():
     import numpy as np
 
