@@ -1,9 +1,10 @@
 r"""Chat formatting: layouts recognised by a fingerprint of their field paths, one canonical turn form.
 
 ``turns`` hashes the nested field paths of a table's schema (names that no layout knows are left out) and
-looks the hash up in ``LAYOUTS``, a table of declarative mappings; ``json_turns`` does the same per row for
-JSON texts of mixed layouts. Either gives rows (conv, pos, role, text). ``formatted`` joins the turns of a
-conversation to one text
+looks the hash up in ``LAYOUTS``, a table of declarative mappings. If the schema holds more than one layout,
+each row takes the one that reads all known paths with text in it. ``json_turns`` does the same per row for
+JSON texts of mixed layouts, by the known paths that are not null. Either gives rows (conv, pos, role, text).
+``formatted`` joins the turns of a conversation to one text
 
     ### role: text</turn>\n
 
@@ -14,8 +15,10 @@ turn (skip, take, rest, in code points) and covers the assistant texts.
 
 Edge cases: null roles and texts are empty; turns of equal position are ordered by role, then text (repeated
 rows are turns of their own); a null position comes first; a null conversation id is a conversation; an
-empty table gives an empty result; extra columns are ignored. Tables that fit no layout raise an error with
-the paths found; JSON rows that fit none come back with ``layout`` null and no turns.
+empty table gives an empty result; extra columns are ignored. Optional fields (``input``) may be null or left
+out. Tables that fit no layout raise an error with the paths found, and so does a row with text in known paths
+that no single layout reads; JSON rows that fit none, or hold such text, come back with ``layout`` null and no
+turns. Rows without text take the layout whose fields are not null, or else the table's.
 
 A conversation becomes one row of text, so its turns meet in one task; nothing else is collected.
 """
@@ -47,6 +50,11 @@ class Layout:
     rows: tuple[str, str, str] | None = None
     items: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    optional: tuple[str, ...] = ()
+
+    @property
+    def required(self) -> tuple[str, ...]:
+        return tuple(p for p in self.paths if p not in self.optional)
 
 
 LAYOUTS = {
@@ -58,11 +66,13 @@ LAYOUTS = {
     ),
     "prompt_response": Layout(("prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
     "instruction": Layout(
-        ("input", "instruction", "output"), fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))
+        ("input", "instruction", "output"), fixed=(("user", ("instruction", "input")), ("assistant", ("output",))),
+        optional=("input",),
     ),
     "instruction_system": Layout(
         ("input", "instruction", "output", "system"),
         fixed=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))),
+        optional=("input",),
     ),
 }
 KNOWN = {path for layout in LAYOUTS.values() for path in layout.paths}
@@ -84,16 +94,22 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
+def _inside(known: set[str]) -> list[str]:
+    """Names of the layouts whose required paths are all there, the one with the most paths first."""
+    names = [n for n, layout in LAYOUTS.items() if known.issuperset(layout.required)]
+    return sorted(names, key=lambda n: (len(known.intersection(LAYOUTS[n].paths)), n), reverse=True)
+
+
 def layout_of(schema: T.StructType) -> str:
     """Name of the layout with the schema's fingerprint; if known fields of other layouts are there as well,
     the layout with the most paths among them."""
     known = KNOWN.intersection(field_paths(schema))
     name = BY_FINGERPRINT.get(fingerprint(known))
     if name is None:
-        inside = [n for n, layout in LAYOUTS.items() if known.issuperset(layout.paths)]
+        inside = _inside(known)
         if not inside:
             raise ValueError(f"no layout for the fields {field_paths(schema)}")
-        name = max(inside, key=lambda n: (len(LAYOUTS[n].paths), n))
+        name = inside[0]
     return name
 
 
@@ -122,49 +138,130 @@ def _turn_array(layout: Layout, at) -> Column:
     return F.filter(F.array(*every), lambda x: (x["role"] != "system") | (x["text"] != ""))
 
 
-def turns(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Canonical turns (``id_col``, pos, role, text) of a table of any known layout."""
-    layout = LAYOUTS[layout_of(records.schema)]
+def _table_turns(layout: Layout, at) -> Column:
+    """Array of (pos, role, text) of a row."""
     if layout.rows:
+        pos, role, text = layout.rows
+        return F.array(F.struct(at(pos).cast("long").alias("pos"), _text(at(role)).alias("role"), _text(at(text)).alias("text")))
+    return F.transform(
+        _turn_array(layout, at), lambda x, k: F.struct(k.cast("long").alias("pos"), x["role"].alias("role"), x["text"].alias("text"))
+    )
+
+
+def _filled(path: str, at, blank_counts: bool) -> Column:
+    """Whether a row has a value at a path; unless ``blank_counts``, empty texts are none."""
+
+    def value(x: Column) -> Column:
+        return x.isNotNull() if blank_counts else F.coalesce(x.cast("string") != "", F.lit(False))
+
+    array, _, field = path.partition("[].")
+    return F.coalesce(F.exists(at(array), lambda x: value(x[field])), F.lit(False)) if field else value(at(path))
+
+
+def _chosen(names: list[str], known: list[str], at, blank_counts: bool) -> Column:
+    """The first of the layouts that reads all filled paths of a row, with the most of them; null if none is
+    filled or none reads all."""
+    filled = {p: _filled(p, at, blank_counts) for p in known}
+    some = reduce(Column.__or__, filled.values())
+    choice = F.lit(None).cast("string")
+    # the last condition set decides: the fewest missing paths last
+    for missing in range(max(len(LAYOUTS[n].paths) for n in names), -1, -1):
+        for name in reversed(names):
+            unread = [filled[p] for p in known if p not in LAYOUTS[name].paths]
+            lacks = reduce(Column.__add__, [(~filled[p]).cast("int") if p in filled else F.lit(1) for p in LAYOUTS[name].paths])
+            fits = some & (lacks == missing)
+            for other in unread:
+                fits = fits & ~other
+            choice = F.when(fits, F.lit(name)).otherwise(choice)
+    return choice
+
+
+def turns(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Canonical turns (``id_col``, pos, role, text) of a table of known layouts."""
+    default = layout_of(records.schema)
+    layout = LAYOUTS[default]
+    known = sorted(KNOWN.intersection(field_paths(records.schema)))
+    if layout.rows and set(known) == set(layout.paths):
         pos, role, text = layout.rows
         return records.select(
             F.col(id_col), F.col(pos).cast("long").alias("pos"), _text(F.col(role)).alias("role"), _text(F.col(text)).alias("text")
         )
-    rows = records.select(F.col(id_col), F.posexplode(_turn_array(layout, F.col)).alias("pos", "_turn"))
-    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), "_turn.role", "_turn.text")
-
-
-def _json_schema(layout: Layout) -> str:
-    if layout.items:
-        array, role, text = layout.items
-        return f"struct<{array}:array<struct<`{role}`:string,`{text}`:string>>>"
-    return "struct<" + ",".join(f"`{p}`:string" for p in layout.paths) + ">"
+    present = {p.partition("[]")[0] for p in known}
+
+    def at(name: str) -> Column:
+        return F.col(name) if name in present else F.lit(None).cast("string")
+
+    names = _inside(set(known))
+    array = _table_turns(layout, at)
+    if len(names) > 1 or set(known) - set(layout.paths):
+        # a turn number is no text
+        texts = [p for p in known if p != "turn"]
+        some = reduce(Column.__or__, [_filled(p, at, False) for p in texts])
+        unread = F.raise_error(F.lit(f"no layout reads all the texts of a row with the fields {known}")).cast("string")
+        name = F.when(some, F.coalesce(_chosen(names, texts, at, False), unread)).otherwise(
+            F.coalesce(_chosen(names, known, at, True), F.lit(default))
+        )
+        records = records.withColumn("_layout", name)
+        array = reduce(
+            lambda rest, n: F.when(F.col("_layout") == n, _table_turns(LAYOUTS[n], at)).otherwise(rest),
+            names,
+            F.array().cast("array<struct<pos:bigint,role:string,text:string>>"),
+        )
+    rows = records.select(F.col(id_col), F.explode(array).alias("_turn"))
+    return rows.select(id_col, "_turn.pos", "_turn.role", "_turn.text")
 
 
-def _variant_paths(layout: Layout) -> str:
-    """The variant schema, as Spark prints it, of a record of this layout."""
-    if layout.items:
-        array, *fields = layout.items
-        inner = ", ".join(f"{f}: STRING" for f in sorted(fields))
-        return f"OBJECT<{array}: ARRAY<OBJECT<{inner}>>>"
-    return "OBJECT<" + ", ".join(f"{p}: STRING" for p in sorted(layout.paths)) + ">"
+def _nested(value: Column) -> Column:
+    """Whether a variant is an object or an array: no text."""
+    return F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
 
 def json_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(``id_col``, layout, turns): per row, the mapping is chosen by the hash of its own nested schema."""
+    """(``id_col``, layout, turns): per row, the mapping is chosen by the known paths that are not null in it."""
     nested = {n: layout for n, layout in LAYOUTS.items() if not layout.rows}
+    record = F.try_parse_json(json_col)
+    fields: dict[str, Column] = {}
+    for layout in nested.values():
+        if layout.items:
+            array, role, text = layout.items
+            kinds = F.try_variant_get(record, f"$.{array}", f"array<struct<`{role}`:variant,`{text}`:variant>>")
+            plain = ~F.exists(kinds, lambda x: _nested(x[role]) | _nested(x[text]))  # noqa: B023
+            fields[array] = F.when(plain, F.try_variant_get(record, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>"))
+        else:
+            for p in layout.paths:
+                plain = ~_nested(F.try_variant_get(record, f"$.{p}", "variant"))
+                fields[p] = F.when(plain, F.try_variant_get(record, f"$.{p}", "string"))
+    given = {p: F.try_variant_get(record, f"$.{p}", "variant") for p in fields}
     rows = records.select(
         F.col(id_col).alias("_id"),
-        F.col(json_col).alias("_json"),
-        F.sha2(F.schema_of_variant(F.try_parse_json(json_col)), 256).alias("_print"),
+        *[field.alias(f"_f_{p}") for p, field in fields.items()],
+        *[(given[p].isNotNull() & ~F.is_variant_null(given[p])).alias(f"_g_{p}") for p in fields],
     )
-    layout, array = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
+
+    def at(name: str) -> Column:
+        return F.col(f"_f_{name}")
+
+    layout, turn_array = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
     for name, mapping in nested.items():
-        same = F.col("_print") == hashlib.sha256(_variant_paths(mapping).encode()).hexdigest()
-        record = F.from_json("_json", _json_schema(mapping))
-        layout = F.when(same, F.lit(name)).otherwise(layout)
-        array = F.when(same, _turn_array(mapping, lambda f, r=record: r[f])).otherwise(array)
-    return rows.select(F.col("_id").alias(id_col), layout.alias("layout"), array.alias("turns"))
+        read = {p.partition("[]")[0] for p in mapping.paths}
+        needed = {p.partition("[]")[0] for p in mapping.required}
+        # a value of another type than the layout's is not read
+        fits = reduce(
+            Column.__and__,
+            [
+                *[at(p).isNotNull() for p in needed],
+                *[F.col(f"_g_{p}") == at(p).isNotNull() for p in read],
+                *[~F.col(f"_g_{p}") for p in fields if p not in read],
+            ],
+        )
+        if mapping.items:
+            array, role, text = mapping.items
+            spoken = F.transform(at(array), lambda x: F.coalesce(x[role], x[text]).isNotNull())  # noqa: B023
+            fits = fits & ~F.array_contains(spoken, False) & (F.size(spoken) > 0)
+        fits = F.coalesce(fits, F.lit(False))
+        layout = F.when(fits, F.lit(name)).otherwise(layout)
+        turn_array = F.when(fits, _turn_array(mapping, at)).otherwise(turn_array)
+    return rows.select(F.col("_id").alias(id_col), layout.alias("layout"), turn_array.alias("turns"))
 
 
 def _replaced(text: Column, pairs) -> Column:

@@ -119,6 +119,49 @@ def test_chat_layouts(spark):
     assert found[2] == ("messages", [("user", "c")]) and found[3] == found[4] == (None, [])
 
 
+def test_chat_layout_is_chosen_per_row(spark):
+    fields = "conv_id long, messages array<struct<role:string,content:string>>, prompt string, response string"
+    rows = [(1, [("user", "q"), ("assistant", "a")], None, None), (2, None, "p", "r"), (3, [], "p", None), (4, None, None, None)]
+    table = spark.createDataFrame(rows, fields)
+    found = [tuple(r) for r in chat_format.turns(table).orderBy("conv_id", "pos").collect()]
+    assert found[:6] == [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "p"), (2, 1, "assistant", "r")] + [
+        (3, 0, "user", "p"),
+        (3, 1, "assistant", ""),
+    ]
+    both = spark.createDataFrame([(1, [("user", "q")], "p", "r")], fields)
+    with pytest.raises(Exception, match="no layout reads all"):
+        chat_format.turns(both).collect()
+    asked = spark.createDataFrame([(1, "i", "o", "s"), (2, "i", "o", None)], "conv_id long, instruction string, output string, system string")
+    assert [r.text for r in chat_format.turns(asked).orderBy("conv_id", "pos").collect()] == ["s", "i", "o", "i", "o"]
+    stored = spark.createDataFrame([(1, 4, "user", "t", None, None), (2, None, None, None, "p", "c")], "conv_id long, turn long, role string, text string, prompt string, completion string")
+    assert [tuple(r) for r in chat_format.turns(stored).orderBy("conv_id", "pos").collect()] == [
+        (1, 4, "user", "t"),
+        (2, 0, "user", "p"),
+        (2, 1, "assistant", "c"),
+    ]
+
+
+def test_chat_json_with_unknown_and_null_fields(spark):
+    texts = [
+        '{"prompt": "p", "response": "r", "id": 7, "messages": null}',
+        '{"instruction": "i", "input": null, "output": "o"}',
+        '{"instruction": "i", "output": "o", "system": "s"}',
+        '{"id": "x", "conversations": [{"from": "human", "value": "q", "weight": 1}, {"from": "gpt", "value": null}]}',
+        '{"prompt": "p", "response": "r", "messages": [{"role": "user", "content": "lost"}]}',
+        '{"messages": [{"role": "user", "content": [{"type": "text"}]}]}',
+        '{"messages": [{"from": "human", "value": "q"}]}',
+        '{"prompt": "p", "response": "r", "completion": "c"}',
+        "not json",
+    ]
+    records = spark.createDataFrame(list(enumerate(texts)), "i long, j string")
+    found = {r.i: (r.layout, [(t.role, t.text) for t in r.turns]) for r in chat_format.json_turns(records, "i", "j").collect()}
+    assert found[0] == ("prompt_response", [("user", "p"), ("assistant", "r")])
+    assert found[1] == ("instruction", [("user", "i"), ("assistant", "o")])
+    assert found[2] == ("instruction_system", [("system", "s"), ("user", "i"), ("assistant", "o")])
+    assert found[3] == ("speakers", [("user", "q"), ("assistant", "")])
+    assert all(found[n] == (None, []) for n in range(4, 9))
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     placed = packing.best_fit([9, 7, 6, 3, 1], ["a", "b", "c", "b", "b"], [1, 2, 3, 4, 2], 10)
     # 3 would fit the bin of 7 best, but that holds its source; 1 shares source and cluster with 7 and source with 3
