@@ -12,7 +12,7 @@ from stallwise.functions.newton import minimise
 from stallwise.functions.special import hypergeometric, log_beta, log_gamma
 from stallwise.functions.student import two_sided_p
 from stallwise.plans import figures, gmv_model, lifetime, views
-from stallwise.sources import tables
+from stallwise.sources import multiline, tables
 from stallwise.workspace import materialise, new_path
 
 
@@ -245,6 +245,34 @@ def test_stray_quote_keeps_all_records(spark, tmp_path):
     assert len(found) == 1000 and found["r10"] == '5" pipe' and found["r999"] == "fine"
 
 
+def test_quote_at_the_end_of_an_unquoted_cell_keeps_all_records(spark, tmp_path):
+    names = tables.SCHEMAS["order_reviews"].fieldNames()
+    odd = {10: 'size 5"', 500: '"two\nlines, 5"" wide"', 700: '5"" or 6"', 701: '"one, 7"""'}
+    rows = [f"r{i},o{i},5,t,{odd.get(i, 'fine')},2018-01-01 00:00:00,2018-01-02 00:00:00" for i in range(1000)]
+    _write(tmp_path, "reviews.csv", "\n".join([",".join(names), *rows]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, 700):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = {r.review_id: r.review_comment_message for r in tables.read_csv_table(spark, str(tmp_path), "order_reviews").collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert len(found) == 1000 and found["r10"] == 'size 5"' and found["r999"] == "fine"
+        assert found["r500"] == 'two\nlines, 5" wide' and found["r701"] == 'one, 7"'
+
+
+def test_unclosed_and_endless_records_raise(spark, tmp_path):
+    names = tables.SCHEMAS["order_reviews"].fieldNames()
+    dates = "2018-01-01 00:00:00,2018-01-02 00:00:00"
+    _write(tmp_path, "open.csv", ",".join(names) + f'\nr1,o1,5,t,"open,{dates}\nr2,o2,5,t,x,{dates}\n')
+    with pytest.raises(Exception, match="a quoted cell does not end"):
+        tables.read_csv_table(spark, f"{tmp_path}/open.csv", "order_reviews", bad_rows="NULL").collect()
+    _write(tmp_path, "long.csv", ",".join(names) + '\nr1,o1,5,t,"' + "x\n" * 30 + f'",{dates}\n')
+    assert multiline.read_records(spark, f"{tmp_path}/long.csv").count() == 1
+    with pytest.raises(Exception, match="more than 20 lines"):
+        multiline.read_records(spark, f"{tmp_path}/long.csv", max_lines=20).collect()
+
+
 def test_failed_rebuild_keeps_the_old_tables(spark, small):
     folder = new_path(spark, "rebuild")
     tables.rebuild_tables(small.raw, folder)
