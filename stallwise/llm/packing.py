@@ -11,8 +11,9 @@ part of a written table: a task that runs again on another executor packs the sa
 Which chunks share a shard depends on how that table was written, so bins may differ between clusters.
 
 Edge cases: null and empty texts are one chunk of no words; a null source is a source of its own; texts equal
-up to white space and case form a cluster; repeated rows are packed one by one, in different bins; an empty
-table gives an empty result; other columns are ignored.
+up to white space and case form a cluster, unless a column gives the clusters (``near_dedup``'s class ids, say; a
+null there falls back to the text); repeated rows are packed one by one, in different bins; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,13 +60,17 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int, b
     return placed
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, source_col: str, capacity: int) -> DataFrame:
+def chunks(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, capacity: int, cluster_col: str | None = None
+) -> DataFrame:
     """Rows (_id, _source, _cluster, chunk, start_word, n_words, _row), written."""
     text = text_of(text_col)
+    copies = F.xxhash64(F.lower(F.regexp_replace(text, SPACE, " ")))
+    given = F.col(cluster_col) if cluster_col else None
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.xxhash64(F.col(source_col).cast("string")), F.lit(0)).alias("_source"),
-        F.xxhash64(F.lower(F.regexp_replace(text, SPACE, " "))).alias("_cluster"),
+        (copies if given is None else F.when(given.isNull(), copies).otherwise(F.xxhash64(given))).alias("_cluster"),
         F.size(words_of(text)).cast("long").alias("_words"),
     )
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_words") - 1, F.lit(0)), F.lit(capacity).cast("long"))
@@ -90,9 +95,10 @@ def pack(
     capacity: int = CAPACITY,
     shard_rows: int = SHARD_ROWS,
     by_source: bool = True,
+    cluster_col: str | None = None,
 ) -> DataFrame:
     """One row per chunk: ``id_col``, chunk, start_word, n_words, bin_id, bin_offset (both in words)."""
-    rows = chunks(docs, id_col, text_col, source_col, capacity)
+    rows = chunks(docs, id_col, text_col, source_col, capacity, cluster_col)
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
 

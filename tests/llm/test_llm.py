@@ -184,6 +184,24 @@ def test_packing(docs, empty):
     assert words == {1: 80, 2: 160, 3: 80, 4: 0, 5: 0, 6: 0, None: 80, 7: 80, 8: 30_000, 9: 2, 10: 80}
 
 
+@pytest.mark.parametrize("given", [True, False])
+def test_packed_bins_hold_no_conflict(spark, given):
+    rng = random.Random(8)
+    rows = []
+    for n in range(300):
+        text = prose(rng.randrange(40), 20)
+        near = rng.randrange(60)
+        rows.append((n, text + (f" end{n}" if given else ""), f"s{rng.randrange(30)}", near if n % 9 else None))
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, near long")
+    packed = packing.pack(table, capacity=100, shard_rows=100, cluster_col="near" if given else None).collect()
+    assert len(packed) == 300
+    of = {n: (source, near if given and near is not None else text) for n, text, source, near in rows}
+    for a in packed:
+        for b in packed:
+            if a.doc_id < b.doc_id and a.bin_id == b.bin_id:
+                assert of[a.doc_id][0] != of[b.doc_id][0] and of[a.doc_id][1] != of[b.doc_id][1]
+
+
 def test_near_classes(docs, empty):
     found = near_dedup.near_classes(docs).collect()
     assert near_dedup.near_classes(empty).count() == 0
