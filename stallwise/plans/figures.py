@@ -12,6 +12,7 @@ from . import customers, experiment, gmv_model, growth, logistics, marts, strate
 
 def figure_plans(wh: Warehouse) -> dict[tuple[str, str], Callable[[], DataFrame]]:
     """(figure, dataset) -> plan."""
+    # The names of the figures.
     return {
         ("monthly_growth_kpis", "trend"): lambda: growth.monthly_metrics_full(wh.monthly, 100),
         ("customer_acquisition_vs_repeat_behavior", "mix"): lambda: growth.without_last_month(wh.customer_mix),

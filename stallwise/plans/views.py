@@ -10,6 +10,7 @@ from . import enrich, facts, marts
 
 def view_plans(wh: Warehouse) -> dict[str, DataFrame]:
     """The 23 views in dependency order; item and order level views read the written facts."""
+    # The names of the views.
     return {
         "vw_products_enriched": wh.products_plan(),
         "vw_geo_zip": wh.geo_zip_plan(),

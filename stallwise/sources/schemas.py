@@ -7,51 +7,80 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TYPES = {
-    "text": T.StringType(),
-    "int": T.IntegerType(),
-    "ts": T.TimestampNTZType(),
-    "money": T.DecimalType(10, 2),
-    "coord": T.DoubleType(),
-}
-
-
-def _schema(spec: str) -> T.StructType:
-    parts = [item.split(":") for item in spec.split()]
-    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in parts])
-
-
 # Table and column names, types and keys of the raw data contract.
-SCHEMAS: dict[str, T.StructType] = {
-    "customers": _schema(
-        "customer_id:text customer_unique_id:text customer_zip_code_prefix:int customer_city:text customer_state:text"
-    ),
-    "products": _schema(
-        "product_id:text product_category_name:text product_name_lenght:int product_description_lenght:int "
-        "product_photos_qty:int product_weight_g:int product_length_cm:int product_height_cm:int product_width_cm:int"
-    ),
-    "sellers": _schema("seller_id:text seller_zip_code_prefix:int seller_city:text seller_state:text"),
-    "orders": _schema(
-        "order_id:text customer_id:text order_status:text order_purchase_timestamp:ts order_approved_at:ts "
-        "order_delivered_carrier_date:ts order_delivered_customer_date:ts order_estimated_delivery_date:ts"
-    ),
-    "order_items": _schema(
-        "order_id:text order_item_id:int product_id:text seller_id:text shipping_limit_date:ts "
-        "price:money freight_value:money"
-    ),
-    "order_payments": _schema(
-        "order_id:text payment_sequential:int payment_type:text payment_installments:int payment_value:money"
-    ),
-    "order_reviews": _schema(
-        "review_id:text order_id:text review_score:int review_comment_title:text review_comment_message:text "
-        "review_creation_date:ts review_answer_timestamp:ts"
-    ),
-    "geolocation": _schema(
-        "geolocation_zip_code_prefix:int geolocation_lat:coord geolocation_lng:coord "
-        "geolocation_city:text geolocation_state:text"
-    ),
-    "product_category_translation": _schema("product_category_name:text product_category_name_english:text"),
+_DDL = {
+    "customers": """
+        customer_id STRING,
+        customer_unique_id STRING,
+        customer_zip_code_prefix INT,
+        customer_city STRING,
+        customer_state STRING
+    """,
+    "products": """
+        product_id STRING,
+        product_category_name STRING,
+        product_name_lenght INT,
+        product_description_lenght INT,
+        product_photos_qty INT,
+        product_weight_g INT,
+        product_length_cm INT,
+        product_height_cm INT,
+        product_width_cm INT
+    """,
+    "sellers": """
+        seller_id STRING,
+        seller_zip_code_prefix INT,
+        seller_city STRING,
+        seller_state STRING
+    """,
+    "orders": """
+        order_id STRING,
+        customer_id STRING,
+        order_status STRING,
+        order_purchase_timestamp TIMESTAMP_NTZ,
+        order_approved_at TIMESTAMP_NTZ,
+        order_delivered_carrier_date TIMESTAMP_NTZ,
+        order_delivered_customer_date TIMESTAMP_NTZ,
+        order_estimated_delivery_date TIMESTAMP_NTZ
+    """,
+    "order_items": """
+        order_id STRING,
+        order_item_id INT,
+        product_id STRING,
+        seller_id STRING,
+        shipping_limit_date TIMESTAMP_NTZ,
+        price DECIMAL(10, 2),
+        freight_value DECIMAL(10, 2)
+    """,
+    "order_payments": """
+        order_id STRING,
+        payment_sequential INT,
+        payment_type STRING,
+        payment_installments INT,
+        payment_value DECIMAL(10, 2)
+    """,
+    "order_reviews": """
+        review_id STRING,
+        order_id STRING,
+        review_score INT,
+        review_comment_title STRING,
+        review_comment_message STRING,
+        review_creation_date TIMESTAMP_NTZ,
+        review_answer_timestamp TIMESTAMP_NTZ
+    """,
+    "geolocation": """
+        geolocation_zip_code_prefix INT,
+        geolocation_lat DOUBLE,
+        geolocation_lng DOUBLE,
+        geolocation_city STRING,
+        geolocation_state STRING
+    """,
+    "product_category_translation": """
+        product_category_name STRING,
+        product_category_name_english STRING
+    """,
 }
+SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 PRIMARY_KEYS: dict[str, list[str]] = {
     "customers": ["customer_id"],

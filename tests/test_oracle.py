@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from stallwise.jobs import JOBS
 from tests.conftest import SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-ORACLES = contract.oracle_sql()
+# the training-data queries have tests of their own beside their code
+ORACLES = {name: sql for name, sql in contract.oracle_sql().items() if name in JOBS}
 QUERIES = contract.queries()
 
 
