@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, near_dedup, packing, pii, quality, secret_scan, toxicity, warc
+from . import bpe, chat_format, exact_dedup, near_dedup, packing, pii, quality, secret_scan, toxicity, variants, warc
 from .base import table
 
 # conversation -7 of the contract, in another layout than the table
@@ -95,6 +95,10 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, folder, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(variants.counted_words(table(spark, folder, "documents"), misspell=True))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
