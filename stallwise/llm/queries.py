@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, near_dedup, packing, pii, quality, secret_scan, toxicity, variants, warc
+from . import bpe, chat_format, exact_dedup, near_dedup, packing, phrases, pii, quality, secret_scan, toxicity, variants, warc
 from .base import table
 
 # conversation -7 of the contract, in another layout than the table
@@ -95,6 +95,10 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, folder, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(*phrases.frequent_phrases(table(spark, folder, "documents")))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variants(variants.counted_words(table(spark, folder, "documents"), misspell=True))
 
@@ -110,6 +114,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_phrase_mining": op11_phrase_mining,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -145,6 +150,44 @@ ORACLES = {
                    AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_phrase_mining": r"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), p AS (
+            SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t
+        ), s AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+        ), g AS (
+            SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+            FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)
+        ), n AS (
+            SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 30
+        ), d AS (
+            SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+        ), u AS (
+            SELECT d.lang, d.phrase, d.a, d.cut, h.c AS l, r.c AS r,
+                   (2000000::HUGEINT * d.a) // (h.c::HUGEINT + r.c) AS score
+            FROM d
+            JOIN f h ON h.lang = d.lang AND h.phrase = array_to_string(list_slice(d.w, 1, d.cut), ' ')
+            JOIN f r ON r.lang = d.lang AND r.phrase = array_to_string(list_slice(d.w, d.cut + 1, d.k), ' ')
+            QUALIFY row_number() OVER (PARTITION BY d.lang, d.phrase ORDER BY score, d.cut) = 1
+        ), x AS (
+            SELECT lang, w, a, k, len, unnest(range(1, k - len + 2)) AS i
+            FROM (SELECT DISTINCT lang, phrase, w, a, k FROM d WHERE k > 2), (SELECT unnest([2, 3]) AS len) WHERE len < k
+        ), y AS (
+            SELECT lang, array_to_string(list_slice(w, i, i + len - 1), ' ') AS phrase, max(a) AS around FROM x GROUP BY ALL
+        ), z AS (
+            SELECT u.*, row_number() OVER (PARTITION BY u.lang ORDER BY score DESC, a DESC, encode(u.phrase)) AS rank
+            FROM u LEFT JOIN y ON y.lang = u.lang AND y.phrase = u.phrase
+            WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a::HUGEINT
+        )
+        SELECT z.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000
+    """,
     "op10_warc": r"""
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
