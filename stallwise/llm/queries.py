@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, near_dedup, packing, phrases, pii, quality, secret_scan, toxicity, variants, warc
+from . import bpe, chat_format, context_tree, exact_dedup, near_dedup, packing, phrases, pii, quality, secret_scan, toxicity, variants, warc
 from .base import table
 
 # conversation -7 of the contract, in another layout than the table
@@ -99,6 +99,14 @@ def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(*phrases.frequent_phrases(table(spark, folder, "documents")))
 
 
+def op12_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    scored = context_tree.score(table(spark, folder, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variants(variants.counted_words(table(spark, folder, "documents"), misspell=True))
 
@@ -115,6 +123,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_phrase_mining": op11_phrase_mining,
+    "op12_context_tree": op12_context_tree,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
