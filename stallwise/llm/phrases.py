@@ -44,7 +44,7 @@ LEAST = 30
 TOP = 2_000
 SHARD_WORDS = 1 << 19
 # shards are rows of some 5 MB; a scan holds the rows of one file
-SHARDS_PER_FILE = 16
+SHARDS_PER_FILE = 4
 FILTER_BITS = 1 << 28
 _SLICE = 1 << 22
 _ROWS = 1 << 16
