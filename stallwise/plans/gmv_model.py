@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit, ratio
@@ -164,11 +164,19 @@ def sampled_items(items: DataFrame, orders: DataFrame, size: int = SAMPLE_SIZE,
     return items.join(F.broadcast(used.select("order_id")), "order_id", "left_semi")
 
 
+def is_held_out(test_share: float = TEST_SHARE) -> Column:
+    """Whether an order is kept from the fit: a salted hash of its id, whatever is sampled."""
+    return hash_unit("split-42", "order_id") < test_share
+
+
+def held_out_items(items: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:
+    """Items of all held-out orders, chosen before any features are computed."""
+    return items.where(is_held_out(test_share))
+
+
 def model_sample_split(sampled_orders: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:
     """Stable train/test flag by a second salted hash, and the log target."""
-    return sampled_orders.withColumns(
-        {"is_test": hash_unit("split-42", "order_id") < test_share, "label": F.log1p("gmv")}
-    )
+    return sampled_orders.withColumns({"is_test": is_held_out(test_share), "label": F.log1p("gmv")})
 
 
 @dataclass(frozen=True)
@@ -228,19 +236,25 @@ def describe_fit(model: FittedModel, sample: DataFrame) -> DataFrame:
     )
 
 
-def model_score(model: FittedModel, sample: DataFrame) -> DataFrame:
-    """Predictions for the test part on the GMV scale."""
-    scored = model.pipeline.transform(model.prepare(sample.where(F.col("is_test"))))
+def model_score(model: FittedModel, orders: DataFrame) -> DataFrame:
+    """One prediction on the GMV scale per row of order features: a narrow transform, the forest is all it carries.
+
+    An order outside the sample is imputed and encoded as the fit decided, like one inside it.
+    """
+    scored = model.pipeline.transform(model.prepare(orders))
     return scored.select("order_id", F.col("gmv").alias("actual"), F.expm1("prediction").alias("predicted"))
 
 
 def model_metrics(scored: DataFrame, sample_size: int) -> DataFrame:
-    """``scored`` should be a written table."""
+    """Errors over all held-out orders: one pass of mergeable sums, then the exact median.
+
+    ``scored`` should be a written table; ``sample_size`` is the number of orders that the fit drew from.
+    """
     error = F.col("actual") - F.col("predicted")
-    mean = scored.agg(F.avg("actual")).scalar()
-    spread = F.col("actual") - mean
     row = scored.agg(
-        F.avg(F.abs(error)).alias("mae"), (1 - ratio(F.sum(error * error), F.sum(spread * spread))).alias("r2")
+        F.count("*").alias("orders"),
+        F.avg(F.abs(error)).alias("mae"),
+        (1 - ratio(F.sum(error * error), F.var_pop("actual") * F.count("actual"))).alias("r2"),
     ).first()
     (median,) = exact_quantiles(scored.select(F.abs(error).alias("e")), "e", [0.5])
     rows = [
@@ -248,6 +262,7 @@ def model_metrics(scored: DataFrame, sample_size: int) -> DataFrame:
         ("Median absolute error", median),
         ("R-squared", row["r2"]),
         ("Sampled orders", float(sample_size)),
+        ("Held-out orders", float(row["orders"])),
     ]
     return scored.sparkSession.createDataFrame(rows, "metric string, value double")
 

@@ -7,80 +7,86 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+TEXT, INTEGER, TIMESTAMP = T.StringType(), T.IntegerType(), T.TimestampNTZType()
+MONEY, COORDINATE = T.DecimalType(10, 2), T.DoubleType()
+
 # Table and column names, types and keys of the raw data contract.
-_DDL = {
-    "customers": """
-        customer_id STRING,
-        customer_unique_id STRING,
-        customer_zip_code_prefix INT,
-        customer_city STRING,
-        customer_state STRING
-    """,
-    "products": """
-        product_id STRING,
-        product_category_name STRING,
-        product_name_lenght INT,
-        product_description_lenght INT,
-        product_photos_qty INT,
-        product_weight_g INT,
-        product_length_cm INT,
-        product_height_cm INT,
-        product_width_cm INT
-    """,
-    "sellers": """
-        seller_id STRING,
-        seller_zip_code_prefix INT,
-        seller_city STRING,
-        seller_state STRING
-    """,
-    "orders": """
-        order_id STRING,
-        customer_id STRING,
-        order_status STRING,
-        order_purchase_timestamp TIMESTAMP_NTZ,
-        order_approved_at TIMESTAMP_NTZ,
-        order_delivered_carrier_date TIMESTAMP_NTZ,
-        order_delivered_customer_date TIMESTAMP_NTZ,
-        order_estimated_delivery_date TIMESTAMP_NTZ
-    """,
-    "order_items": """
-        order_id STRING,
-        order_item_id INT,
-        product_id STRING,
-        seller_id STRING,
-        shipping_limit_date TIMESTAMP_NTZ,
-        price DECIMAL(10, 2),
-        freight_value DECIMAL(10, 2)
-    """,
-    "order_payments": """
-        order_id STRING,
-        payment_sequential INT,
-        payment_type STRING,
-        payment_installments INT,
-        payment_value DECIMAL(10, 2)
-    """,
-    "order_reviews": """
-        review_id STRING,
-        order_id STRING,
-        review_score INT,
-        review_comment_title STRING,
-        review_comment_message STRING,
-        review_creation_date TIMESTAMP_NTZ,
-        review_answer_timestamp TIMESTAMP_NTZ
-    """,
-    "geolocation": """
-        geolocation_zip_code_prefix INT,
-        geolocation_lat DOUBLE,
-        geolocation_lng DOUBLE,
-        geolocation_city STRING,
-        geolocation_state STRING
-    """,
-    "product_category_translation": """
-        product_category_name STRING,
-        product_category_name_english STRING
-    """,
+_COLUMNS = {
+    "customers": {
+        "customer_id": TEXT,
+        "customer_unique_id": TEXT,
+        "customer_zip_code_prefix": INTEGER,
+        "customer_city": TEXT,
+        "customer_state": TEXT,
+    },
+    "products": {
+        "product_id": TEXT,
+        "product_category_name": TEXT,
+        "product_name_lenght": INTEGER,
+        "product_description_lenght": INTEGER,
+        "product_photos_qty": INTEGER,
+        "product_weight_g": INTEGER,
+        "product_length_cm": INTEGER,
+        "product_height_cm": INTEGER,
+        "product_width_cm": INTEGER,
+    },
+    "sellers": {
+        "seller_id": TEXT,
+        "seller_zip_code_prefix": INTEGER,
+        "seller_city": TEXT,
+        "seller_state": TEXT,
+    },
+    "orders": {
+        "order_id": TEXT,
+        "customer_id": TEXT,
+        "order_status": TEXT,
+        "order_purchase_timestamp": TIMESTAMP,
+        "order_approved_at": TIMESTAMP,
+        "order_delivered_carrier_date": TIMESTAMP,
+        "order_delivered_customer_date": TIMESTAMP,
+        "order_estimated_delivery_date": TIMESTAMP,
+    },
+    "order_items": {
+        "order_id": TEXT,
+        "order_item_id": INTEGER,
+        "product_id": TEXT,
+        "seller_id": TEXT,
+        "shipping_limit_date": TIMESTAMP,
+        "price": MONEY,
+        "freight_value": MONEY,
+    },
+    "order_payments": {
+        "order_id": TEXT,
+        "payment_sequential": INTEGER,
+        "payment_type": TEXT,
+        "payment_installments": INTEGER,
+        "payment_value": MONEY,
+    },
+    "order_reviews": {
+        "review_id": TEXT,
+        "order_id": TEXT,
+        "review_score": INTEGER,
+        "review_comment_title": TEXT,
+        "review_comment_message": TEXT,
+        "review_creation_date": TIMESTAMP,
+        "review_answer_timestamp": TIMESTAMP,
+    },
+    "geolocation": {
+        "geolocation_zip_code_prefix": INTEGER,
+        "geolocation_lat": COORDINATE,
+        "geolocation_lng": COORDINATE,
+        "geolocation_city": TEXT,
+        "geolocation_state": TEXT,
+    },
+    "product_category_translation": {
+        "product_category_name": TEXT,
+        "product_category_name_english": TEXT,
+    },
+}
+SCHEMAS: dict[str, T.StructType] = {
+    table: T.StructType([T.StructField(name, kind, True) for name, kind in columns.items()])
+    for table, columns in _COLUMNS.items()
 }
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 PRIMARY_KEYS: dict[str, list[str]] = {
     "customers": ["customer_id"],

@@ -22,9 +22,13 @@ class Warehouse:
     several times are written to the shared folder; everything else stays a lazy plan on them.
     """
 
-    def __init__(self, raw: RawTables, cutoff: datetime = experiment.CUTOFF):
+    def __init__(
+        self, raw: RawTables, cutoff: datetime = experiment.CUTOFF, fit_orders: int = gmv_model.SAMPLE_SIZE
+    ):
+        """``fit_orders`` bounds the orders that the order-value model is fitted on; all held-out ones are scored."""
         self.raw = raw
         self.cutoff = cutoff
+        self.fit_orders = fit_orders
         self._kept: dict[str, object] = {}
 
     def _keep(self, name: str, build: Callable[[], object]):
@@ -135,7 +139,7 @@ class Warehouse:
     @property
     def model_sample(self) -> DataFrame:
         def build() -> DataFrame:
-            items = gmv_model.sampled_items(self.model_items, self.completed_orders)
+            items = gmv_model.sampled_items(self.model_items, self.completed_orders, self.fit_orders)
             orders = gmv_model.model_orders(gmv_model.with_groups(items, self.top_values))
             return gmv_model.model_sample_split(orders)
 
@@ -145,9 +149,15 @@ class Warehouse:
     def model(self) -> gmv_model.FittedModel:
         return self._keep("model", lambda: gmv_model.model_fit(self.model_sample))
 
+    @property
+    def held_out_orders(self) -> DataFrame:
+        """Features of every held-out order, sampled or not."""
+        items = gmv_model.held_out_items(self.model_items)
+        return gmv_model.model_orders(gmv_model.with_groups(items, self.top_values))
+
     @property
     def model_scored(self) -> DataFrame:
-        return self._written("model_scored", lambda: gmv_model.model_score(self.model, self.model_sample))
+        return self._written("model_scored", lambda: gmv_model.model_score(self.model, self.held_out_orders))
 
     # lazy tables on the written ones
 

@@ -3,7 +3,9 @@
 import math
 import os
 from dataclasses import replace
+from datetime import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from stallwise.functions.special import hypergeometric, log_beta, log_gamma
 from stallwise.functions.student import two_sided_p
 from stallwise.plans import figures, gmv_model, lifetime, views
 from stallwise.sources import multiline, tables
+from stallwise.warehouse import Warehouse
 from stallwise.workspace import materialise, new_path
 
 
@@ -159,7 +162,7 @@ def test_forest(spark, small):
         "test",
     )
     model = gmv_model.model_fit(holed, trees=8, depth=6)
-    scored = materialise(gmv_model.model_score(model, holed), "test")
+    scored = materialise(gmv_model.model_score(model, holed.where("is_test")), "test")
     assert scored.count() == holed.where("is_test").count()
     metrics = {r.metric: r.value for r in gmv_model.model_metrics(scored, holed.count()).collect()}
     assert metrics["R-squared"] > 0.3  # better than the mean
@@ -172,6 +175,48 @@ def test_forest(spark, small):
     assert pairs.count() == 50 and pairs.select("axis_limit").distinct().count() == 1
 
 
+def _metrics_in_sql(scored) -> dict:
+    """The metrics of a written table of scores, by DuckDB."""
+    con = duckdb.connect()
+    files = [f for f in scored.inputFiles()]
+    con.execute("CREATE VIEW scored AS SELECT * FROM read_parquet([" + ", ".join(f"'{f.removeprefix('file://')}'" for f in files) + "])")
+    names = ["MAE", "Median absolute error", "R-squared", "Held-out orders"]
+    return dict(zip(names, con.execute("""
+        SELECT avg(abs(actual - predicted)), quantile_cont(abs(actual - predicted), 0.5),
+               1 - sum((actual - predicted) ** 2) / sum((actual - (SELECT avg(actual) FROM scored)) ** 2), count(*)
+        FROM scored""").fetchone()))
+
+
+def test_every_held_out_order_is_scored(spark, small, monkeypatch):
+    """The bound on the fit leaves no order without a prediction and no error out of the metrics."""
+    monkeypatch.setattr(gmv_model, "TREES", 6)
+    bounded = Warehouse(small.raw, datetime(1999, 1, 1), fit_orders=300)
+    sample = bounded.model_sample
+    assert sample.count() == 300
+    everyone = gmv_model.model_sample_split(gmv_model.model_orders(bounded.grouped_items))
+    wanted = {r.order_id: r.gmv for r in everyone.where("is_test").collect()}
+    scored = bounded.model_scored
+    rows = scored.collect()
+    assert len(wanted) > sample.where("is_test").count()
+    assert len(rows) == len(wanted) and {r.order_id: r.actual for r in rows} == wanted
+    assert not {r.order_id for r in rows} & {r.order_id for r in sample.where("not is_test").collect()}
+    # an order inside the sample gets the prediction of the sample's own features
+    again = gmv_model.model_score(bounded.model, sample.where("is_test")).collect()
+    assert {tuple(r) for r in again} <= {tuple(r) for r in rows}
+    metrics = {r.metric: r.value for r in gmv_model.model_metrics(scored, sample.count()).collect()}
+    assert metrics.pop("Sampled orders") == 300
+    expected = _metrics_in_sql(scored)
+    assert set(metrics) == set(expected)
+    assert all(metrics[name] == pytest.approx(expected[name], rel=1e-9) for name in expected)
+    points = gmv_model.pred_vs_actual_sample(scored, rows=10**6)
+    assert points.count() == len(wanted)
+
+
+def test_held_out_filter_reaches_the_items(small):
+    text = small.held_out_orders._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Aggregate") < text.index("split-42") < text.index("Relation")
+
+
 def _write(folder, name, text):
     with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
         f.write(text)
