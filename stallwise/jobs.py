@@ -225,7 +225,7 @@ JOBS: dict[str, Job] = {
         "seller_id:i seller_zip_code_prefix:i seller_city:t seller_state:t seller_lat:d seller_lng:d "
         "seller_geo_city:t seller_geo_state:t",
     ),
-    "payments_agg": Job(lambda w: enrich.payments_agg(w.raw.order_payments), f"order_id:i {ORDER_PAID}"),
+    "payments_agg": Job(Warehouse.payments_plan, f"order_id:i {ORDER_PAID}"),
     "reviews_agg": Job(lambda w: enrich.reviews_agg(w.raw.order_reviews), f"order_id:i {ORDER_REVIEWED}"),
     "orders_enriched": Job(
         Warehouse.orders_plan,
@@ -240,7 +240,7 @@ JOBS: dict[str, Job] = {
         lambda w: enrich.order_time_features(w.orders_plan()),
         f"order_id:i customer_id:i customer_unique_id:i order_status:t {ORDER_TIMES} {FEATURES}",
     ),
-    "order_level": Job(lambda w: facts.order_level(w.item_fact, w.orders_enriched), ORDER),
+    "order_level": Job(Warehouse.order_plan, ORDER),
     "completed_orders": Job(lambda w: w.completed_orders, ORDER),
     "delivered_orders": Job(lambda w: w.delivered_orders, ORDER),
     "completed_items": Job(lambda w: w.completed_items, f"{ITEM} distance_km:d"),
@@ -358,7 +358,7 @@ JOBS: dict[str, Job] = {
         "customer_unique_id:i order_purchase_timestamp:ts order_gmv:d",
     ),
     "rft_summary": Job(
-        lambda w: lifetime.rft_summary(lifetime.ltv_transactions(w.delivered_orders)),
+        Warehouse.rft_plan,
         "customer_unique_id:i frequency:i recency:d T:d monetary_value:d",
     ),
     "bgnbd_fit": Job(
@@ -442,7 +442,7 @@ JOBS: dict[str, Job] = {
         "order_id:i order_item_id:i seller_id:i category_group:t customer_state_group:t seller_state_group:t "
         "payment_type:t",
     ),
-    "model_orders": Job(lambda w: gmv_model.model_orders(w.grouped_items), BASKET),
+    "model_orders": Job(Warehouse.model_orders_plan, BASKET),
     "model_sample_split": Job(lambda w: w.model_sample, f"{BASKET} is_test:t label:d"),
     "model_fit": Job(
         lambda w: gmv_model.describe_fit(w.model, w.model_sample),

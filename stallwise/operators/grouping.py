@@ -3,16 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from enum import Enum
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def combined_on(df: DataFrame, key: str, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+SAMPLE_ROWS = 200_000
+# a key seen less often in the sample says nothing; one with so few rows is no burden for a task
+LEAST_HITS, LIGHT_ROWS = 5, 100_000
+
+
+class Layout(Enum):
+    """What is known of the rows per key: nothing, that no key is heavy, or that the rows already lie by key."""
+
+    ANY = "any"
+    LIGHT = "light"
+    PLACED = "placed"
+
+
+def layout_of(df: DataFrame, key: str) -> Layout:
+    """LIGHT unless a key holds much of what one shuffle partition should hold, by a sample of one column.
+
+    ``df`` should be a table, so that its count is metadata. The answer picks a plan and changes no result.
+    """
+    rows = df.count()
+    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    drawn = df.select(key) if share == 1.0 else df.select(key).sample(share, seed=17)
+    hits = drawn.groupBy(key).agg(F.count("*").alias("hits")).agg(F.max("hits")).first()[0] or 0
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = hits >= LEAST_HITS and hits / share > max(LIGHT_ROWS, rows / (4 * partitions))
+    return Layout.ANY if heavy else Layout.LIGHT
+
+
+def combined_on(
+    df: DataFrame, key: str, combine: Callable[[DataFrame], DataFrame], layout: Layout = Layout.ANY
+) -> DataFrame:
     """``combine`` (a grouping on ``key`` and more columns) with a result partitioned on ``key``.
 
-    The rows are always combined on the map side, so a heavy key reaches its task as one row per
-    task and group; only the combined rows are shuffled on the key.
+    Rows that lie by key need no shuffle, rows without heavy keys one. Otherwise they are combined on the map
+    side first, so a heavy key reaches its task as one row per task and group, and the combined rows are
+    shuffled on the key.
     """
+    if layout is Layout.PLACED:
+        return combine(df)
+    if layout is Layout.LIGHT:
+        return combine(df.repartition(key))
     return combine(df).repartition(key)
 
 

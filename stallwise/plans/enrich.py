@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import days_between, flag, hours_between, month_of, ratio
-from ..operators.grouping import combined_on, mark_values, smallest_mode
+from ..operators.grouping import Layout, combined_on, mark_values, smallest_mode
 
 
 def products_enriched(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def sellers_enriched(sellers: DataFrame, geo: DataFrame) -> DataFrame:
     return _with_geo(sellers, geo, "seller")
 
 
-def payments_agg(payments: DataFrame) -> DataFrame:
+def payments_agg(payments: DataFrame, layout: Layout = Layout.ANY) -> DataFrame:
     """Per order: paid total, longest instalment plan, main payment type, number of types."""
 
     def per_type(df: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def payments_agg(payments: DataFrame) -> DataFrame:
         )
 
     narrow = payments.select("order_id", "payment_type", "payment_value", "payment_installments")
-    return combined_on(narrow, "order_id", per_type).groupBy("order_id").agg(
+    return combined_on(narrow, "order_id", per_type, layout).groupBy("order_id").agg(
         F.sum("_value").alias("payment_value"),
         F.max("_installments").alias("payment_installments"),
         smallest_mode("payment_type", "_n").alias("payment_type"),

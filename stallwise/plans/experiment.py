@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import flag, hash_unit, ratio
+from ..functions.scalars import flag, hash_unit, month_of, ratio
 from ..functions.student import two_sided_p
 from ..operators.cuts import exact_quantiles
 
@@ -61,11 +61,12 @@ def eligible(firsts: DataFrame, cutoff: datetime = CUTOFF) -> DataFrame:
 
 
 def outcomes(completed_orders: DataFrame, cutoff: datetime = CUTOFF, days: int = WINDOW_DAYS) -> DataFrame:
-    """Orders in the half-open window after the cutoff; the range filter prunes Parquet row groups."""
+    """Orders in the half-open window after the cutoff; only the months that it touches are read."""
     start = _timestamp(cutoff)
     end = start + F.make_dt_interval(F.lit(days))
     return (
         _usable(completed_orders)
+        .where(F.col("purchase_month").between(month_of(start), month_of(end)))
         .where((F.col(TS) >= start) & (F.col(TS) < end))
         .groupBy(CUSTOMER)
         .agg(F.count("order_id").alias("future_orders"), F.sum("order_gmv").alias("future_gmv"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, great_circle_km, mean_of, ratio
-from ..operators.grouping import combined_on, mark_values, smallest_mode
+from ..operators.grouping import Layout, combined_on, mark_values, smallest_mode
 from .enrich import with_time_features
 
 # The order states that count as completed and as delivered.
@@ -45,18 +45,25 @@ _ORDER_COLUMNS = [
 ]
 
 
-def order_item_base(items: DataFrame, products: DataFrame, sellers: DataFrame, orders: DataFrame) -> DataFrame:
+def order_item_base(
+    items: DataFrame, products: DataFrame, sellers: DataFrame, orders: DataFrame, buckets: int | None = None
+) -> DataFrame:
     """Every item with its product, seller and order attributes; no item is ever dropped.
 
     Left joins only. Small dimensions are broadcast by size; large ones become sort-merge
     joins whose hot keys AQE can split, because nothing above relies on their partitioning.
+    With ``buckets`` the result lies by order in so many partitions: the rows are shuffled on the
+    order before its attributes widen them, and the last join keeps them there.
     """
     gmv = F.col("price") + F.col("freight_value")
     side = [F.coalesce(F.col(f"product_{d}_cm"), F.lit(0)).cast("bigint") for d in ("length", "height", "width")]
+    described = items.join(products.select("product_id", *_PRODUCT_COLUMNS), "product_id", "left").join(
+        sellers.select("seller_id", *_SELLER_COLUMNS), "seller_id", "left"
+    )
+    if buckets:
+        described = described.repartition(buckets, "order_id")
     return (
-        items.join(products.select("product_id", *_PRODUCT_COLUMNS), "product_id", "left")
-        .join(sellers.select("seller_id", *_SELLER_COLUMNS), "seller_id", "left")
-        .join(orders.select("order_id", *_ORDER_COLUMNS), "order_id", "left")
+        described.join(orders.select("order_id", *_ORDER_COLUMNS), "order_id", "left")
         .select(
             "order_id",
             "order_item_id",
@@ -83,7 +90,7 @@ def order_item_geo(item_base: DataFrame) -> DataFrame:
     )
 
 
-def order_level(item_geo: DataFrame, enriched_orders: DataFrame) -> DataFrame:
+def order_level(item_geo: DataFrame, enriched_orders: DataFrame, layout: Layout = Layout.ANY) -> DataFrame:
     """One row per order that has items.
 
     Items are combined per (order, seller, category) and every later step reuses one order_id
@@ -105,7 +112,7 @@ def order_level(item_geo: DataFrame, enriched_orders: DataFrame) -> DataFrame:
     narrow = item_geo.select(
         "order_id", "order_item_id", "seller_id", category, "item_gmv", "freight_value", "distance_km"
     )
-    combined = combined_on(narrow, "order_id", per_seller_and_category)
+    combined = combined_on(narrow, "order_id", per_seller_and_category, layout)
     marked = mark_values(combined, "order_id", "seller_id", "_rows", category, "_seller")
     marked = mark_values(marked, "order_id", category, "_rows", "seller_id", "_category")
     totals = marked.groupBy("order_id").agg(

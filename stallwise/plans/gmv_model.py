@@ -92,6 +92,9 @@ def with_groups(items: DataFrame, top: DataFrame) -> DataFrame:
 def model_orders(grouped_items: DataFrame) -> DataFrame:
     """One row of features per order, from one order_id partitioning of pre-combined items.
 
+    On the bucketed item fact the items are combined where they lie; the narrower combined rows then move once,
+    which measured faster than sorting them three times in the scanning tasks.
+
     Customer state, payment type and instalments belong to the order, so they are group keys.
     """
     order_keys = ["order_id", "customer_state_group", "payment_type", "payment_installments"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, month_number, month_of, ratio
-from ..operators.grouping import combined_on
+from ..operators.grouping import Layout, combined_on
 from ..operators.running import with_running
 
 CUSTOMER = "customer_unique_id"
@@ -114,10 +114,10 @@ def cohort_activity(completed_orders: DataFrame, customers: DataFrame) -> DataFr
     )
 
 
-def cohort_retention(completed_orders: DataFrame) -> DataFrame:
+def cohort_retention(completed_orders: DataFrame, layout: Layout = Layout.ANY) -> DataFrame:
     """Zero-filled retention grid from each cohort's first month to the last month of all."""
     months = completed_orders.select(CUSTOMER, month_of("order_purchase_timestamp").alias("order_month"))
-    active = combined_on(months, CUSTOMER, DataFrame.distinct)
+    active = combined_on(months, CUSTOMER, DataFrame.distinct, layout)
     # at most one row per calendar month and customer is left, so this window stays small
     start = F.min("order_month").over(Window.partitionBy(CUSTOMER))
     counts = (

@@ -19,7 +19,7 @@ from ..functions.newton import minimise
 from ..functions.scalars import ratio
 from ..functions.special import hypergeometric, log_beta, log_gamma
 from ..operators.cuts import exact_quantiles
-from ..operators.grouping import combined_on
+from ..operators.grouping import Layout, combined_on
 
 CUSTOMER = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -59,13 +59,13 @@ def ltv_transactions(delivered_orders: DataFrame) -> DataFrame:
     return delivered_orders.where(usable).select(CUSTOMER, TS, "order_gmv")
 
 
-def rft_summary(transactions: DataFrame) -> DataFrame:
+def rft_summary(transactions: DataFrame, layout: Layout = Layout.ANY) -> DataFrame:
     """Frequency, recency, age (in days) and mean spend over repeat days per customer."""
 
     def per_day(df: DataFrame) -> DataFrame:
         return df.groupBy(CUSTOMER, F.to_date(TS).alias("_day")).agg(F.sum("order_gmv").alias("_spend"))
 
-    daily = combined_on(transactions, CUSTOMER, per_day)
+    daily = combined_on(transactions, CUSTOMER, per_day, layout)
     last_day = transactions.agg(F.to_date(F.max(TS))).scalar()
     per_customer = daily.groupBy(CUSTOMER).agg(
         (F.count("*") - 1).alias("frequency"),

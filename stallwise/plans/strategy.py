@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..operators.cuts import exact_quantiles
-from ..operators.grouping import combined_on
+from ..operators.grouping import Layout, combined_on
 from ..operators.running import with_running
 from .marts import CATEGORY
 
@@ -42,7 +42,11 @@ def pareto_threshold_share(curve: DataFrame, target: float = 0.80) -> DataFrame:
 
 
 def segment_category_mix(
-    completed_items: DataFrame, customers: DataFrame, segments: tuple[str, ...] = ("High", "Low"), top: int = 8
+    completed_items: DataFrame,
+    customers: DataFrame,
+    segments: tuple[str, ...] = ("High", "Low"),
+    top: int = 8,
+    layout: Layout = Layout.ANY,
 ) -> DataFrame:
     """Top categories per value segment with their share inside the top list.
 
@@ -55,7 +59,7 @@ def segment_category_mix(
 
     usable = completed_items.where(F.col("customer_unique_id").isNotNull() & F.col(CATEGORY).isNotNull())
     narrow = usable.select("customer_unique_id", CATEGORY, "item_gmv")
-    spend = combined_on(narrow, "customer_unique_id", per_category)
+    spend = combined_on(narrow, "customer_unique_id", per_category, layout)
     members = customers.where(F.col("value_segment").isin(*segments)).select("customer_unique_id", "value_segment")
     totals = spend.join(members, "customer_unique_id").groupBy("value_segment", CATEGORY).agg(F.sum("gmv").alias("gmv"))
     best = Window.partitionBy("value_segment").orderBy(F.col("gmv").desc_nulls_last(), CATEGORY)

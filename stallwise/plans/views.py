@@ -16,7 +16,7 @@ def view_plans(wh: Warehouse) -> dict[str, DataFrame]:
         "vw_geo_zip": wh.geo_zip_plan(),
         "vw_customers_enriched": wh.customers_plan(),
         "vw_sellers_enriched": wh.sellers_plan(),
-        "vw_payments_agg": enrich.payments_agg(wh.raw.order_payments),
+        "vw_payments_agg": wh.payments_plan(),
         "vw_reviews_agg": enrich.reviews_agg(wh.raw.order_reviews),
         "vw_orders_enriched": wh.orders_enriched,
         "vw_order_item_base": wh.item_fact.drop("distance_km"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +84,16 @@ def write_csv_tables(raw: RawTables, folder: str, files: Mapping[str, str] | Non
         )
 
 
-def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append ``df`` to the table at ``path``; write tasks run in parallel."""
-    df.write.mode(mode).parquet(path)
+def write_table(df: DataFrame, path: str, mode: str = "append", by: Sequence[str] = ()) -> None:
+    """Append ``df`` to the table at ``path``; write tasks run in parallel.
+
+    With ``by`` the table has a folder per value of these columns. Overwriting then replaces the folders
+    that ``df`` has rows for, say one month, and leaves the others.
+    """
+    writer = df.write.mode(mode)
+    if by:
+        writer = writer.partitionBy(*by).option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str]) -> None:

@@ -7,10 +7,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.grouping import Layout, layout_of
 from .plans import customers, enrich, experiment, facts, gmv_model, growth, lifetime, marts, strategy
 from .sources import driver_tables
 from .sources.schemas import RawTables
-from .workspace import materialise
+from .workspace import bucket_count, materialise, materialise_by, materialise_on
 
 _open: dict[tuple, Warehouse] = {}
 
@@ -39,6 +40,9 @@ class Warehouse:
     def _written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return self._keep(name, lambda: materialise(build(), name))
 
+    def _layout(self, name: str, df: DataFrame, key: str) -> Layout:
+        return self._keep(f"layout_{name}_{key}", lambda: layout_of(df, key))
+
     # plans straight from the raw tables
 
     def products_plan(self) -> DataFrame:
@@ -53,20 +57,27 @@ class Warehouse:
     def sellers_plan(self, geo: DataFrame | None = None) -> DataFrame:
         return enrich.sellers_enriched(self.raw.sellers, self.geo_zip_plan() if geo is None else geo)
 
+    def payments_plan(self) -> DataFrame:
+        payments = self.raw.order_payments
+        return enrich.payments_agg(payments, self._layout("payments", payments, "order_id"))
+
     def orders_plan(self, geo: DataFrame | None = None) -> DataFrame:
         return enrich.orders_enriched(
             self.raw.orders,
             self.customers_plan(geo),
-            enrich.payments_agg(self.raw.order_payments),
+            self.payments_plan(),
             enrich.reviews_agg(self.raw.order_reviews),
         )
 
-    def item_plan(self, orders: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
+    def item_plan(
+        self, orders: DataFrame | None = None, geo: DataFrame | None = None, buckets: int | None = None
+    ) -> DataFrame:
         base = facts.order_item_base(
             self.raw.order_items,
             self.products_plan(),
             self.sellers_plan(geo),
             self.orders_plan() if orders is None else orders,
+            buckets,
         )
         return facts.order_item_geo(base)
 
@@ -80,13 +91,45 @@ class Warehouse:
     def orders_enriched(self) -> DataFrame:
         return self._written("orders_enriched", lambda: self.orders_plan(self.geo_zip))
 
+    @property
+    def item_buckets(self) -> int | None:
+        """Buckets of the item fact by order; None if one order holds much of the items, which are then left as
+        they come."""
+
+        def choose() -> int | None:
+            items = self.raw.order_items
+            if self._layout("items", items, "order_id") is Layout.ANY:
+                return None
+            return bucket_count(items.sparkSession, items.count())
+
+        return self._keep("item_buckets", choose)
+
+    @property
+    def item_layout(self) -> Layout:
+        """How the item fact lies by order."""
+        return Layout.PLACED if self.item_buckets else Layout.ANY
+
     @property
     def item_fact(self) -> DataFrame:
-        return self._written("item_fact", lambda: self.item_plan(self.orders_enriched, self.geo_zip))
+        def build() -> DataFrame:
+            plan = self.item_plan(self.orders_enriched, self.geo_zip, self.item_buckets)
+            if self.item_buckets:
+                return materialise_on(plan, "item_fact", "order_id", self.item_buckets)
+            return materialise(plan, "item_fact")
+
+        return self._keep("item_fact", build)
+
+    def order_plan(self) -> DataFrame:
+        return facts.order_level(self.item_fact, self.orders_enriched, self.item_layout)
 
     @property
     def order_fact(self) -> DataFrame:
-        return self._written("order_fact", lambda: facts.order_level(self.item_fact, self.orders_enriched))
+        return self._keep("order_fact", lambda: materialise_by(self.order_plan(), "order_fact", "purchase_month"))
+
+    @property
+    def customer_layout(self) -> Layout:
+        """How the orders weigh by customer."""
+        return self._layout("orders", self.order_fact, "customer_unique_id")
 
     @property
     def customer_agg(self) -> DataFrame:
@@ -102,9 +145,10 @@ class Warehouse:
 
     @property
     def rft(self) -> DataFrame:
-        return self._written(
-            "rft", lambda: lifetime.rft_summary(lifetime.ltv_transactions(self.delivered_orders))
-        )
+        return self._written("rft", self.rft_plan)
+
+    def rft_plan(self) -> DataFrame:
+        return lifetime.rft_summary(lifetime.ltv_transactions(self.delivered_orders), self.customer_layout)
 
     @property
     def population(self) -> DataFrame:
@@ -155,6 +199,9 @@ class Warehouse:
         items = gmv_model.held_out_items(self.model_items)
         return gmv_model.model_orders(gmv_model.with_groups(items, self.top_values))
 
+    def model_orders_plan(self) -> DataFrame:
+        return gmv_model.model_orders(self.grouped_items)
+
     @property
     def model_scored(self) -> DataFrame:
         return self._written("model_scored", lambda: gmv_model.model_score(self.model, self.held_out_orders))
@@ -197,11 +244,12 @@ class Warehouse:
 
     @property
     def retention(self) -> DataFrame:
-        return growth.cohort_retention(self.completed_orders)
+        return growth.cohort_retention(self.completed_orders, self.customer_layout)
 
     @property
     def segment_mix(self) -> DataFrame:
-        return strategy.segment_category_mix(self.completed_items, self.customer_level)
+        layout = self._layout("items", self.item_fact, "customer_unique_id")
+        return strategy.segment_category_mix(self.completed_items, self.customer_level, layout=layout)
 
     def curve(self, entity: str) -> DataFrame:
         source = {

@@ -7,11 +7,15 @@ and keeps column pruning, which a cached or checkpointed RDD would not.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# what one bucket should hold, and how many of them Spark allows by default
+ROWS_PER_BUCKET, MAX_BUCKETS = 1_000_000, 100_000
+
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -42,3 +46,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucket_count(spark: SparkSession, rows: int) -> int | None:
+    """Buckets for a table of so many rows: one per shuffle partition or more; None if too many would be needed."""
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_BUCKET))
+    return wanted if wanted <= MAX_BUCKETS else None
+
+
+def materialise_on(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df``, already partitioned on ``key`` into ``buckets``, as a bucketed table: groupings and joins on
+    the key then need no shuffle, and other plans read it like any table."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"stallwise_{path.rsplit('/', 1)[1].replace('-', '_')}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def materialise_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Write ``df`` with a folder per value of ``column``; rows are balanced, so a large value spans several files."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.hint("rebalance", column).write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
