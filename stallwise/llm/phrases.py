@@ -6,13 +6,13 @@ suffixes are ordered by their first ``DEPTH`` words, which is all that patterns
 transforms form a bidirectional index: extending a phrase by a word on one side narrows its interval on that
 side by two rank queries and shifts the interval on the other side by the number of smaller neighbours.
 
-Phrases are enumerated level by level, all intervals of a shard at once, and their counts are summed across
-shards: words first; then left extensions of frequent words; then right extensions of frequent pairs and left
-extensions of those. A phrase seen ``least`` times has only parts seen as often, so extension leaves out words
-and pairs that the summed counts of the level before rule out. Workers test that on a bitmap of hashes, sized
+Phrases are enumerated length by length, all intervals of a shard at once, and their counts are summed across
+shards: words first; then left extensions of frequent words, right extensions of frequent pairs and left
+extensions of frequent triples. A phrase seen ``least`` times has only parts seen as often, so extension leaves out
+what the summed counts of the length before rule out. Workers test that on bitmaps of hashes, one per length, sized
 by the counted phrases up to ``FILTER_BITS`` (32 MB); a bit set by another phrase costs work and changes no count.
 
-Scale: nothing but the bitmap is broadcast, rows are shuffled as counts per shard and phrase, and the best
+Scale: nothing but the bitmaps is broadcast, rows are shuffled as counts per shard and phrase, and the best
 phrases of a language are chosen before they meet. Shards are written once and read by every level. A piece
 longer than a shard is cut with ``DEPTH - 1`` words of overlap; what lies wholly in an overlap is counted in a
 shard of its own with the sign -1.
@@ -45,6 +45,7 @@ TOP = 2_000
 SHARD_WORDS = 1 << 19
 # shards are rows of some 5 MB; a scan holds the rows of one file
 SHARDS_PER_FILE = 4
+SHARDS_PER_TASK = 16
 FILTER_BITS = 1 << 28
 _SLICE = 1 << 22
 _ROWS = 1 << 16
@@ -262,51 +263,65 @@ def _spelled(words: list[bytes], ids: np.ndarray) -> list[bytes]:
     return columns[0] if len(columns) == 1 else list(map(b" ".join, zip(*columns, strict=True)))
 
 
-def _enumerated(row: dict, level: int, words_filter: Filter | None, pairs_filter: Filter | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Phrases of the level with their counts: 1 words, 2 pairs, 3 all longer ones."""
+def _among(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted numbers are in the sorted ones."""
+    if not len(known):
+        return np.zeros(len(wanted), bool)
+    return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+
+
+def _enumerated(row: dict, length: int, filters: list[Filter]) -> tuple[list[bytes], np.ndarray]:
+    """Phrases of the length with their counts; ``filters`` hold the frequent phrases of each shorter length."""
     lang, words = row["lang"], row["words"].split(b" ")
     forward = Index(np.frombuffer(row["forward"], np.int32))
     found = words_of_index(forward)
-    if level == 1:
-        yield _spelled(words, found.ids), found.count
-        return
-    common = words_filter.keeps(lang, words)
+    if length == 1:
+        return _spelled(words, found.ids), found.count
     backward = Index(np.frombuffer(row["backward"], np.int32))
-    found = extended(found.where(common[found.ids[:, 0]]), forward, backward, left=True)
-    found = found.where(common[found.ids[:, 0]])
-    spelled = _spelled(words, found.ids)
-    if level == 2:
-        yield spelled, found.count
-        return
-    found = found.where(pairs_filter.keeps(lang, spelled))
     number = len(words)
-    pairs = np.sort(found.ids[:, 0] * number + found.ids[:, 1])
-    for length in range(3, DEPTH + 1):
-        left = length % 2 == 0
+    # per length, the frequent phrases of the shard: each as the rank of its start and its last word
+    known: list[np.ndarray] = [np.flatnonzero(filters[0].keeps(lang, words))]
+
+    def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the phrases and whether all their starts are known."""
+        code, sure = ids[:, 0], _among(known[0], ids[:, 0])
+        for level, more in enumerate(ids.T[1:]):
+            code = np.searchsorted(known[level], code) * number + more
+            if level + 1 < ids.shape[1] - 1:
+                sure &= _among(known[level + 1], code)
+        return code, sure
+
+    for size in range(2, length + 1):
+        if size > 2:
+            found = found.where(filters[size - 2].keeps(lang, _spelled(words, found.ids)))
+            known.append(np.sort(ranked(found.ids)[0]))
+        else:
+            found = found.where(_among(known[0], found.ids[:, 0]))
+        left = size % 2 == 0
         found = extended(found, forward, backward, left)
-        # the pair that the new word makes must be frequent too
-        pair = found.ids[:, 0] * number + found.ids[:, 1] if left else found.ids[:, -2] * number + found.ids[:, -1]
-        at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
-        found = found.where(pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool))
-        yield _spelled(words, found.ids), found.count
+        # what the new word makes with all others but the last one behind it must be frequent too
+        code, sure = ranked(found.ids[:, : size - 1] if left else found.ids[:, 1:])
+        found = found.where(sure & _among(known[-1], code))
+    return _spelled(words, found.ids), found.count
 
 
-def counted(
-    shard_rows: DataFrame, level: int, words_filter: Filter | None = None, pairs_filter: Filter | None = None
-) -> DataFrame:
-    """Counts (lang, phrase, count) of the phrases of a level, summed across shards."""
+def counted(shard_rows: DataFrame, length: int, filters: list[Filter]) -> DataFrame:
+    """Counts (lang, phrase, count) of the phrases of a length, summed across shards.
+
+    A task takes several shards, whose counts meet before they are shuffled.
+    """
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("count", pa.int64())])
 
     def enumerate_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                for phrases, counts in _enumerated(row, level, words_filter, pairs_filter):
-                    for at in range(0, len(phrases), _ROWS):
-                        part = phrases[at : at + _ROWS]
-                        signed = pa.array(counts[at : at + _ROWS] * row["sign"], pa.int64())
-                        columns = [pa.array([row["lang"]] * len(part)), pa.array(part, pa.binary()), signed]
-                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                phrases, counts = _enumerated(row, length, filters)
+                for at in range(0, len(phrases), _ROWS):
+                    part = phrases[at : at + _ROWS]
+                    signed = pa.array(counts[at : at + _ROWS] * row["sign"], pa.int64())
+                    columns = [pa.array([row["lang"]] * len(part)), pa.array(part, pa.binary()), signed]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = shard_rows.select("lang", "sign", "words", "forward", "backward")
     found = rows.mapInArrow(enumerate_all, "lang string, phrase binary, count long")
@@ -319,14 +334,17 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, count) of all phrases of up to four words seen ``least`` times, and words per language (lang, n)."""
     indexed = shards(docs, text_col, lang_col, size)
-    often = F.col("count") >= least
-    words = materialise(counted(indexed, 1).filter(often), "phrase_words")
-    words_filter = filter_of(words)
-    pairs = materialise(counted(indexed, 2, words_filter).filter(often), "phrase_pairs")
-    longer = materialise(counted(indexed, 3, words_filter, filter_of(pairs)).filter(often), "phrase_longer")
-    together = words.unionByName(pairs).unionByName(longer)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-indexed.count() // SHARDS_PER_TASK))
+    together, filters = None, []
+    for length in range(1, DEPTH + 1):
+        found = counted(indexed.coalesce(tasks), length, filters).filter(F.col("count") >= least)
+        found = materialise(found, "phrase_counts")
+        if length < DEPTH:
+            filters = [*filters, filter_of(found)]
+        found = found.select("lang", "phrase", F.lit(length).alias("words"), "count")
+        together = found if together is None else together.unionByName(found)
     totals = indexed.groupBy("lang").agg(F.sum(F.col("sign") * F.col("positions")).alias("n"))
-    return together.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "count"), totals
+    return together, totals
 
 
 def _wide(number: Column) -> Column:
