@@ -365,6 +365,27 @@ def test_bpe_equals_the_library(spark, docs, empty):
         assert r.n_tokens * 4 == len(r.ids) and r.decoded_sha256 == sha(r.decoded)
 
 
+def test_words_merged_side_by_side_and_bounded_table(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    vocabulary = bpe.Vocabulary(public.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aaabeinorst é漢", k=rng.choice([0, 1, 2, 5, 9, 20, 48, 49, 300]))).encode() for _ in range(2000)]
+    monkeypatch.setattr(bpe, "_ROWS_AT_ONCE", 100)
+    assert vocabulary.merged_all([]) == []
+    assert vocabulary.merged_all(words) == [array.array("I", vocabulary.merged(w)).tobytes() for w in words]
+
+    monkeypatch.setattr(bpe, "CACHED_UNITS", 500)
+    encoder = bpe.Encoder(vocabulary)
+    for n in range(300):
+        encoder.encode("漢" * 70 + chr(0x4E00 + n) + f", w{n} x{n}")
+        assert len(encoder) < 510 and max(map(len, encoder), default=0) <= 64
+    assert list(bpe.together(["a" * (1 << 20), "b", "", "c" * (1 << 21)])) == [["a" * (1 << 20)], ["b", ""], ["c" * (1 << 21)]]
+
+    few = spark.createDataFrame([(n, "a a b\nb c d d" + " e" * (n % 2)) for n in range(6)], "doc_id long, text string")
+    assert sorted(bpe.frequent_units(few, "text", 3)) == ["a", "b", "d"]
+    assert bpe.frequent_units(few, "text", 2) == [] and bpe.frequent_units(few.limit(0), "text", 2) == []
+
+
 def test_lexicon_holds_exactly_its_words(tmp_path):
     words = {w.encode(): [n, n + 1] for n, w in enumerate(["a", "ab", "abc", "xbc", "ybc", "é", " the"])}
     path = tmp_path / "lexicon"
