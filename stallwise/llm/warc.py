@@ -43,6 +43,7 @@ DATE = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+_VERSIONS = b"WARC/1."
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _EITHER = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -134,23 +135,45 @@ class Record(NamedTuple):
     payload: bytes
 
 
-def _parse(data: bytes, at: int, proof: bool = False) -> tuple[Record, int] | str:
-    """The record that begins at ``at`` and the place after it, or what is wrong; ``proof`` asks for a digest."""
-    if not _START.match(data, at):
-        return "no version line"
-    head_end = data.find(END, at)
-    if head_end < 0:
-        return "headers do not end"
-    headers = {}
-    for line in data[at:head_end].split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
+class Failure(NamedTuple):
+    """Why no record begins at a place, and from where on to look for the next version line."""
+
+    reason: str
+    look_from: int
+
+
+def _parse(data: bytes, at: int, proof: bool = False) -> tuple[Record, int] | Failure:
+    """The record that begins at ``at`` and the place after it, or what is wrong; ``proof`` asks for a digest.
+
+    After a failure no place before ``look_from`` can do better: version lines inside broken headers lead to the
+    same broken line, and of those inside whole headers the last one is tried. So headers are not read again
+    for every version line in them.
+    """
+    start = _START.match(data, at)
+    if not start:
+        return Failure("no version line", at + 1)
+    headers, place = {}, start.end()
+    while True:
+        line_end = data.find(b"\r\n", place)
+        if line_end < 0:
+            return Failure("headers do not end", len(data))
+        if line_end == place:
+            break
+        key, colon, value = data[place:line_end].partition(b":")
         if not colon:
-            return "malformed header"
+            return Failure("malformed header", place)
         headers[key.strip().lower()] = value.strip().decode("utf-8", "replace")
+        place = line_end + 2
+    last = data.rfind(_VERSIONS, start.end(), place)
+    found = _checked(data, headers, place + 2, proof)
+    return Failure(found, max(last, at + 1) if last >= 0 else place) if isinstance(found, str) else found
+
+
+def _checked(data: bytes, headers: dict[bytes, str], begin: int, proof: bool) -> tuple[Record, int] | str:
+    """The record of these headers whose block begins at ``begin``, or what is wrong."""
     length = headers.get(b"content-length", "")
     if not (length.isascii() and length.isdigit()):
         return "no content length"
-    begin = head_end + len(END)
     stop = begin + int(length)
     if data[stop : stop + len(END)] != END:
         return "length does not end at a record end"
@@ -192,14 +215,14 @@ def _records(data: bytes, proof: bool = False) -> Iterator[tuple[int, int, Recor
     at = 0
     while at < len(data):
         parsed = _parse(data, at, proof)
-        if not isinstance(parsed, str):
+        if not isinstance(parsed, Failure):
             yield at, parsed[1] - at, parsed[0]
             at = parsed[1]
             continue
-        reason, begin = parsed, at
-        found = _START.search(data, at + 1)
-        while found and isinstance(_parse(data, found.start(), proof), str):
-            found = _START.search(data, found.start() + 1)
+        reason, begin = parsed.reason, at
+        found = _START.search(data, parsed.look_from)
+        while found and isinstance(failed := _parse(data, found.start(), proof), Failure):
+            found = _START.search(data, failed.look_from)
         at = found.start() if found else len(data)
         yield begin, at - begin, reason
 
@@ -243,20 +266,23 @@ def _member(data: bytes, at: int) -> Member:
     return Member(content[:sound], place - len(reader.unconsumed_tail), reason)
 
 
-def _resumes(data: bytes, at: int) -> bool:
-    """Whether a valid record begins at ``at``, as it is or in a gzip member."""
-    if data.startswith(_MEMBER, at):
-        member = _member(data, at)
-        return any(isinstance(found, Record) for *_, found in _records(member.content, member.reason is not None))
-    return not isinstance(_parse(data, at), str)
-
-
-def _next(data: bytes, at: int) -> int:
-    """The nearest place from ``at`` on where a valid record of either kind begins, or the end."""
+def _next(data: bytes, at: int, look_from: int) -> int:
+    """The nearest place from ``at`` on where a valid record begins in a gzip member, or from ``look_from`` on one
+    as it is; or the end."""
     found = _EITHER.search(data, at)
-    while found and not _resumes(data, found.start()):
-        found = _EITHER.search(data, found.start() + 1)
-    return found.start() if found else len(data)
+    while found:
+        place = found.start()
+        if data.startswith(_MEMBER, place):
+            member = _member(data, place)
+            if any(isinstance(inside, Record) for *_, inside in _records(member.content, member.reason is not None)):
+                return place
+        elif place >= look_from:
+            parsed = _parse(data, place)
+            if not isinstance(parsed, Failure):
+                return place
+            look_from = parsed.look_from
+        found = _EITHER.search(data, place + 1)
+    return len(data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
@@ -271,7 +297,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
         if padded and data[at] == 0:
             at += 1
             continue
-        begin, padded = at, data.startswith(_MEMBER, at)
+        begin, look_from, padded = at, at, data.startswith(_MEMBER, at)
         if padded:
             content, after, reason = _member(data, at)
             for *_, found in _records(content, reason is not None):
@@ -282,12 +308,12 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
             begin = after
         else:
             parsed = _parse(data, at)
-            if not isinstance(parsed, str):
+            if not isinstance(parsed, Failure):
                 yield at, parsed[1] - at, parsed[0]
                 at = parsed[1]
                 continue
-            reason = parsed
-        at = _next(data, max(begin, at + 1))
+            reason, look_from = parsed
+        at = _next(data, max(begin, at + 1), look_from)
         padded = False
         yield begin, at - begin, reason
 

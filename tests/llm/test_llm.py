@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -552,6 +553,28 @@ def test_salvage_reads_a_damaged_member_up_to_its_error():
     assert found_in(stored)[0] == ["0", "1", "2", "3"]
 
 
+def test_salvage_of_many_version_lines_is_linear():
+    # 200 kB of version lines in a damaged record, on lines of their own, inside headers and before whole headers
+    for line in (b"WARC/1.1\r\n", b"a: WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n", b"WARC/1.1\r\ncontent-length: 9\r\n\r\n"):
+        damaged = bytearray(record(0, line * (200_000 // len(line))))
+        damaged[-8] ^= 0xFF
+        begin = time.process_time()
+        good, gaps = found_in(bytes(damaged) + record(1) + gzip.compress(record(2), mtime=0))
+        assert time.process_time() - begin < 2 and good == ["1", "2"] and gaps == [(0, len(damaged))]
+
+
+def test_salvage_after_broken_headers():
+    cut = record(0)[:40]
+    member = gzip.compress(record(2), mtime=0)
+    # a header cut off before a member, before a plain record, and a length that says too much
+    assert found_in(cut + member) == (["2"], [(0, 40)])
+    assert found_in(cut + b"\r\n" + record(1) + member)[0] == ["1", "2"]
+    wrong = re.sub(rb"(?i)(content-length: )([0-9]+)", rb"\g<1>9\g<2>", record(0), count=1)
+    assert found_in(wrong + record(1) + member) == (["1", "2"], [(0, len(wrong))])
+    # a member of more than 16 MB has a separator of its own
+    assert found_in(gzip.compress(record(3, bytes(17 << 20)), 1, mtime=0) + b"\0" + member)[0] == ["3", "2"]
+
+
 def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     rows = packed.collect()
