@@ -10,7 +10,8 @@ hot source, cluster or repeated id spreads evenly and every shard is one bounded
 part of a written table: a task that runs again on another executor packs the same chunks the same way.
 Which chunks share a shard depends on how that table was written, so bins may differ between clusters.
 
-Edge cases: null and empty texts are one chunk of no words; a null source is a source of its own; texts equal
+Edge cases: null and empty texts are one chunk of no words, which conflicts with nothing and goes to the fullest
+bin (a bin of its own only if there is no other); a null source is a source of its own; texts equal
 up to white space and case form a cluster, unless a column gives the clusters (``near_dedup``'s class ids, say; a
 null there falls back to the text); repeated rows are packed one by one, in different bins; an empty table gives
 an empty result; other columns are ignored.
@@ -38,14 +39,15 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int, b
     labels: list[tuple] = []
     if by_source:
         labels += [("source", s) for s in dict.fromkeys(sources)]
-    # a cluster with one item here can meet no conflict
-    labels += [("cluster", c) for c, n in Counter(clusters).items() if n > 1]
+    # a cluster with one item here can meet no conflict, and no words conflict with nothing
+    sized = Counter(c for c, length in zip(clusters, lengths, strict=True) if length)
+    labels += [("cluster", c) for c, n in sized.items() if n > 1]
     bit = {label: 1 << n for n, label in enumerate(labels)}
     order: list[tuple[int, int]] = []  # (residual, bin)
     held: list[int] = []
     placed = []
     for length, source, cluster in zip(lengths, sources, clusters, strict=True):
-        own = bit.get(("source", source), 0) | bit.get(("cluster", cluster), 0)
+        own = bit.get(("source", source), 0) | bit.get(("cluster", cluster), 0) if length else 0
         at = bisect_left(order, (length, -1))
         while at < len(order) and held[order[at][1]] & own:
             at += 1

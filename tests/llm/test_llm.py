@@ -203,6 +203,33 @@ def test_packed_bins_hold_no_conflict(spark, given):
                 assert of[a.doc_id][0] != of[b.doc_id][0] and of[a.doc_id][1] != of[b.doc_id][1]
 
 
+def test_best_fit_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        capacity = rng.choice([5, 20, 60])
+        n = rng.randrange(40)
+        lengths = sorted((rng.randint(0, capacity) for _ in range(n)), reverse=True)
+        sources = [rng.choice("abcdef") for _ in range(n)]
+        clusters = [rng.randrange(25) for _ in range(n)]
+        by_source = rng.random() < 0.7
+        bins: list[list[int]] = []
+        expected = []
+        for k, length in enumerate(lengths):
+
+            def fits(held: list[int], k: int = k) -> bool:
+                clash = [j for j in held if lengths[j] and (by_source and sources[j] == sources[k] or clusters[j] == clusters[k])]
+                return sum(lengths[j] for j in held) + lengths[k] <= capacity and not (lengths[k] and clash)
+
+            free = [(capacity - sum(lengths[j] for j in held), b) for b, held in enumerate(bins) if fits(held)]
+            at = min(free)[1] if free else len(bins)
+            if not free:
+                bins.append([])
+            expected.append((at, sum(lengths[j] for j in bins[at])))
+            bins[at].append(k)
+        assert packing.best_fit(lengths, sources, clusters, capacity, by_source) == expected
+    assert packing.best_fit([0] * 6, list("abcdef"), [1] * 6, 10) == [(0, 0)] * 6
+
+
 def test_near_classes(docs, empty):
     found = near_dedup.near_classes(docs).collect()
     assert near_dedup.near_classes(empty).count() == 0
