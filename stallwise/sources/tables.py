@@ -113,7 +113,9 @@ def rebuild_tables(raw: RawTables, folder: str) -> RawTables:
     """Replace all nine tables under ``folder``.
 
     All nine are written to a staging folder first and take the place of the old ones by renaming, so a
-    load that fails leaves the old tables as they were, and ``raw`` may read from ``folder`` itself.
+    load that fails leaves the old tables as they were, and ``raw`` may read from ``folder`` itself. An old
+    table is renamed into the staging folder before the new one takes its place, and back if that fails; it is
+    deleted when all nine are in place, so no table is lost at any point.
     """
     spark = raw.orders.sparkSession
     staged = f"{folder}/_staged-{uuid.uuid4().hex[:12]}"
@@ -128,8 +130,13 @@ def rebuild_tables(raw: RawTables, folder: str) -> RawTables:
     fresh = {}
     for table, df in raw.items():
         target = f"{folder}/{table}"
-        files.delete(path_of(target), True)
+        aside = path_of(f"{staged}/old-{table}")
+        had = files.exists(path_of(target))
+        if had and not files.rename(path_of(target), aside):
+            raise OSError(f"{target}: not replaced; the new table is in {staged}")
         if not files.rename(path_of(f"{staged}/{table}"), path_of(target)):
+            if had:
+                files.rename(aside, path_of(target))
             raise OSError(f"{target}: not replaced; the new table is in {staged}")
         fresh[table] = spark.read.schema(df.schema).parquet(target)
     files.delete(path_of(staged), True)

@@ -347,6 +347,8 @@ def test_write_and_rebuild(spark, small):
     tables.rebuild_tables(small.raw, folder)
     tables.rebuild_tables(small.raw, folder)
     assert tables.read_tables(spark, folder).orders.count() == small.raw.orders.count()
+    # nothing that was staged or set aside stays
+    assert sorted(os.listdir(folder.removeprefix("file:"))) == sorted(tables.SCHEMAS)
 
 
 def test_views_and_relations(spark, small):
