@@ -242,16 +242,9 @@ def test_near_classes(docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 7, 8, 9, 10] and near_dedup.keep_one(empty).count() == 0
 
 
-def test_near_components_match_brute_force(spark):
-    """A chain of drifting copies: the ends are not similar, the class holds all."""
-    rng = random.Random(5)
-    words, chain = prose(9, 120).split(), []
-    for n in range(60):
-        chain.append((n, " ".join(words)))
-        for _ in range(2):
-            words[rng.randrange(120)] = f"w{n}{rng.random():.6f}"
-    others = [(100 + n, prose(50 + n)) for n in range(40)]
-    rows = chain + others
+def brute_classes(rows: list[tuple[int, str]]) -> dict[int, int]:
+    """Smallest id of each text's component, all pairs compared."""
+    counted = {i: near_dedup._counted(text) for i, text in rows}
     parent = {i: i for i, _ in rows}
 
     def root(i):
@@ -259,14 +252,64 @@ def test_near_components_match_brute_force(spark):
             i = parent[i]
         return i
 
-    for i, a in rows:
-        for j, b in rows:
+    for i, _ in rows:
+        for j, _ in rows:
             if i < j:
-                shared, joint = near_dedup.similar(a, b)
+                shared, joint = near_dedup._overlap(counted[i], counted[j])
                 if 5 * shared >= 4 * joint:
                     parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i, _ in rows}
+
+
+def test_near_components_match_brute_force(spark):
+    """A chain of drifting copies: the ends are not similar, the class holds all."""
+    rng = random.Random(5)
+    words, chain = prose(9, 120).split(), []
+    for n in range(60):
+        chain.append((n, " ".join(words)))
+        for _ in range(2):
+            words[rng.randrange(120)] = f"w{n}{rng.random():.6f}"
+    rows = chain + [(100 + n, prose(50 + n)) for n in range(40)]
     found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in found} == {i: root(i) for i, _ in rows}
+    assert {r.doc_id: r.class_id for r in found} == brute_classes(rows)
+
+
+def drifted(count: int, least: int, most: int, seed: int) -> list[tuple[int, str]]:
+    """Copies of one text of 150 words, each with ``least`` to ``most`` of its words changed."""
+    rng = random.Random(seed)
+    base, rows = prose(21, 150).split(), []
+    for n in range(count):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(least, most)):
+            words[at] = f"w{n}x{at}"
+        rows.append((n, " ".join(words)))
+    return rows
+
+
+def test_near_copies_of_a_missing_text_match_brute_force(spark):
+    """The text that all were copied from is not there; many copies are linked, many are not."""
+    rows = drifted(300, 0, 9, 4)[1:]
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    expected = brute_classes(rows)
+    assert 20 < len(set(expected.values())) < 280
+    assert {r.doc_id: r.class_id for r in found} == expected
+
+
+def test_pairs_of_unlinked_copies_grow_with_the_texts(spark, monkeypatch):
+    """Copies that are near one another but below the threshold: twice the texts, not four times the pairs."""
+    rest, made = near_dedup._rest, []
+
+    def counted(mixed, signed):
+        pairs = rest(mixed, signed)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_rest", counted)
+    for count in (400, 800):
+        rows = drifted(count, 8, 10, 6)
+        found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert found.select("class_id").distinct().count() == count
+    assert made[1] < 3 * made[0] and made[1] < 800 * 799 / 2 / 10, made
 
 
 def test_signatures_estimate_similarity():
