@@ -4,21 +4,25 @@ The counts are native array expressions within one row; nothing is exploded or s
 outlier test works on a narrow written table of transformed shares. Location and scatter of each
 (language, source) group are minimum-covariance-determinant estimates: from two starts (medians with
 spreads, and the plain moments) repeated concentration steps refit on the share ``core`` of rows nearest to
-the estimate, and the start with the smaller determinant wins. A text is rejected when its squared
-Mahalanobis distance exceeds ``cutoff``.
+the estimate, and the start with the smaller determinant wins. The scatter of the nearest rows is scaled to
+that of all rows of a normal distribution. A text is rejected when its squared Mahalanobis distance exceeds
+``cutoff``.
 
 Every step is an aggregate with map-side combination per group, so a hot source costs one partial row per
 task; the estimates have one row per group; up to ``BROADCAST_GROUPS`` of them are broadcast. Each share has a tolerance that is
 added to the scatter, so a group in which a share is constant does not reject every small deviation.
-Groups of fewer than ``small`` texts use the estimate over all texts.
+A group's estimate is that of its texts together with ``prior`` texts that are as all texts are: the location
+and scatter of this mixture, with weight n / (n + prior) on the group's own estimate. So the verdict changes
+little from one size to the next; few texts are judged as all are, and many as their own group.
 
 Edge cases: a null text has no words; null language or source are groups of their own; texts without a word
-or under the base rules are rejected by those and take no part in the estimates; repeated rows get equal
-verdicts; an empty table gives an empty result; other columns are ignored (``keep_good`` passes them through).
+or under the base rules are rejected by those and take no part in the estimates (where no text of a group passes
+them, ``distance`` is null); repeated rows get equal verdicts; an empty table gives an empty result; other columns are ignored (``keep_good`` passes them through).
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +36,8 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = r"[^#*$%&|<>]+"
 CORE = 0.75
 STEPS = 3
-SMALL = 100
+# a group of fewer texts than this is judged more by all texts than by its own
+PRIOR = 100
 # estimates of up to so many groups (600 bytes each, two starts) are broadcast, more are joined by a shuffle
 BROADCAST_GROUPS = 10_000
 # key of the estimate over all texts
@@ -156,17 +161,33 @@ def _moments(weight: Column | None = None) -> list[Column]:
     ]
 
 
-def _scatter(moments: DataFrame, *others: str) -> DataFrame:
-    """Covariances from the mean products, plus the tolerances."""
+def _chi_squared(half: int, x: float) -> float:
+    """Distribution function with 2 * ``half`` degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(half))
+
+
+def consistency(core: float) -> float:
+    """Scatter of all rows over that of the share ``core`` nearest to the middle, for normal rows."""
+    if core >= 1:
+        return 1.0
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi_squared(D // 2, middle) < core else (low, middle)
+    return core / _chi_squared(D // 2 + 1, low)
+
+
+def _scatter(moments: DataFrame, *others: str, factor: float = 1.0) -> DataFrame:
+    """Covariances from the mean products, times ``factor``, plus the tolerances."""
     entries = [
-        (F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") + (STATISTICS[i][1] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}")
+        (factor * (F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) + (STATISTICS[i][1] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}")
         for i, j in PAIRS
     ]
     return moments.select(*others, *[f"m_{i}" for i in range(D)], *entries)
 
 
 def _estimates(rows: DataFrame, keys: list[str], core: float, steps: int) -> DataFrame:
-    """One MCD estimate per key: m_i, l_i_j and the number of texts ``n``."""
+    """One MCD estimate per key: m_i, c_i_j and the number of texts ``n``."""
     per = ["start", *keys]
     median = [F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(X)]
     quart = [F.percentile_approx(x, [0.25, 0.75], 1000).alias(f"r_{i}") for i, x in enumerate(X)]
@@ -182,38 +203,49 @@ def _estimates(rows: DataFrame, keys: list[str], core: float, steps: int) -> Dat
     sizes = materialise(grouped.select(*keys, "n"), "mcd_sizes")
     narrow = F.broadcast if sizes.count() <= BROADCAST_GROUPS else lambda estimates: estimates
     current = materialise(_decomposed(robust.unionByName(plain)), "mcd_estimate")
+    scale = consistency(core)
     for _ in range(steps):
         measured = _with_distance(rows.join(narrow(current), keys)).select("start", *keys, *X, "distance")
         limits = measured.groupBy(*per).agg(F.percentile_approx("distance", core, 1000).alias("limit"))
         limited = materialise(current.join(limits, per), "mcd_limits")
         nearest = _with_distance(rows.join(narrow(limited), keys)).filter("distance <= limit")
-        current = materialise(_decomposed(_scatter(nearest.groupBy(*per).agg(*_moments()), *per)), "mcd_estimate")
-    fitted = [f"m_{i}" for i in range(D)] + [f"l_{i}_{j}" for i, j in PAIRS]
+        current = materialise(_decomposed(_scatter(nearest.groupBy(*per).agg(*_moments()), *per, factor=scale)), "mcd_estimate")
+    fitted = [f"m_{i}" for i in range(D)] + [f"c_{i}_{j}" for i, j in PAIRS]
     best = current.groupBy(*keys).agg(F.min_by(F.struct(*fitted), F.col("log_det")).alias("_best"))
     return best.select(*keys, "_best.*").join(sizes, keys)
 
 
-def outliers(counts: DataFrame, core: float = CORE, steps: int = STEPS, small: int = SMALL) -> DataFrame:
+def _blended(found: DataFrame, prior: float) -> DataFrame:
+    """Per group the estimate of its texts and ``prior`` texts of the pooled estimate, decomposed."""
+    is_every = (F.col("_lang") == EVERY) & (F.col("_source") == EVERY)
+    fitted = [f"m_{i}" for i in range(D)] + [f"c_{i}_{j}" for i, j in PAIRS]
+    general = F.broadcast(found.filter(is_every).select(F.struct(*fitted).alias("_all")))  # one row
+    both = found.filter(~is_every).join(general, F.lit(True)).withColumn("_w", F.col("n") / (F.col("n") + F.lit(prior)))
+    own, other = F.col("_w"), 1 - F.col("_w")
+    apart = [F.col(f"m_{i}") - F.col(f"_all.m_{i}") for i in range(D)]
+    blended = both.select(
+        "_lang",
+        "_source",
+        *[(own * F.col(f"m_{i}") + other * F.col(f"_all.m_{i}")).alias(f"m_{i}") for i in range(D)],
+        *[
+            (own * F.col(f"c_{i}_{j}") + other * F.col(f"_all.c_{i}_{j}") + own * other * apart[i] * apart[j]).alias(f"c_{i}_{j}")
+            for i, j in PAIRS
+        ],
+    )
+    return _decomposed(blended).select("_lang", "_source", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i, j in PAIRS])
+
+
+def outliers(counts: DataFrame, core: float = CORE, steps: int = STEPS, prior: float = PRIOR) -> DataFrame:
     """``counts`` (with ``_lang`` and ``_source``, written) with the column ``distance``."""
     rows = _transformed(counts)
     own = F.struct("_lang", "_source")
     every = F.struct(F.lit(EVERY).alias("_lang"), F.lit(EVERY).alias("_source"))
     fit = rows.filter("not base_failed").select(F.explode(F.array(own, every)).alias("_key"), *X)
-    fitted = [f"m_{i}" for i in range(D)] + [f"l_{i}_{j}" for i, j in PAIRS]
-    found = materialise(
-        _estimates(fit.select("_key.*", *X), ["_lang", "_source"], core, steps).select(
-            "_lang", "_source", "n", F.struct(*fitted).alias("_own")
-        ),
-        "mcd_groups",
-    )
-    is_every = (F.col("_lang") == EVERY) & (F.col("_source") == EVERY)
-    general = found.filter(is_every).select(F.col("_own").alias("_every"))
-    groups = found.filter(~is_every & (F.col("n") >= small)).drop("n")
+    found = materialise(_estimates(fit.select("_key.*", *X), ["_lang", "_source"], core, steps), "mcd_groups")
+    groups = materialise(_blended(found, prior), "mcd_blended")
     groups = F.broadcast(groups) if found.count() <= BROADCAST_GROUPS else groups
-    joined = rows.join(groups, ["_lang", "_source"], "left")
-    joined = joined.join(F.broadcast(general), F.lit(True), "left")  # one row
-    joined = joined.select(*rows.columns, F.coalesce("_own", "_every").alias("_e")).select(*rows.columns, "_e.*")
-    return _with_distance(joined).drop(*fitted, *X)
+    joined = rows.join(groups, ["_lang", "_source"], "left").select(*rows.columns, *[c for c in groups.columns if c[0] != "_"])
+    return _with_distance(joined).drop(*[c for c in groups.columns if c[0] != "_"], *X)
 
 
 def _group_columns(*names: str) -> list[Column]:

@@ -9,6 +9,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -418,6 +419,70 @@ def test_quality_rejects_the_outliers(spark, docs, empty):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_verdicts_do_not_jump_with_the_size_of_a_group(spark):
+    """A source of its own style beside 600 other texts: one text more changes at most one other verdict."""
+    rows = [(n, prose(n, 120), "en", "s") for n in range(600)]
+    own = [(1000 + n, prose(700 + n, 120).replace(" the ", " THE; ").upper(), "en", "t") for n in range(101)]
+    kept = []
+    for size in (99, 100, 101):
+        table = spark.createDataFrame(rows + own[:size], "doc_id long, text string, lang string, source string")
+        kept.append({r.doc_id for r in quality.judged(table).filter("kept and doc_id < 1099").collect()})
+    assert len(kept[0] ^ kept[1]) <= 2 and len(kept[1] ^ kept[2]) <= 2  # the text that came, and one other
+
+
+def brute_mcd(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of one group, as ``quality._estimates`` documents them."""
+    tolerance = np.diag([t * t for _, t in quality.STATISTICS])
+
+    def rank(v, share):
+        return np.sort(v, axis=0)[max(int(np.ceil(share * len(v))) - 1, 0)]
+
+    def moments(v, factor):
+        return v.mean(axis=0), factor * np.cov(v.T, bias=True) + tolerance
+
+    spread = (rank(x, 0.75) - rank(x, 0.25)) / 1.349
+    best = None
+    for m, c in ((rank(x, 0.5), np.diag(spread**2) + tolerance), moments(x, 1.0)):
+        for _ in range(quality.STEPS):
+            distance = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+            m, c = moments(x[distance <= rank(distance, quality.CORE) + 1e-9], quality.consistency(quality.CORE))
+        if best is None or np.linalg.det(c) < np.linalg.det(best[1]):
+            best = m, c
+    return best
+
+
+def test_quality_distances_match_brute_force(spark):
+    rng = random.Random(12)
+
+    def noisy(n):
+        words = prose(n, 100 + n % 37).split()
+        for at in rng.sample(range(100), rng.randint(0, 12)):
+            words[at] = rng.choice(["#", "A&B", "YES!", "x,y;z", "(word)", "of"])
+        return " ".join(words)
+
+    rows = [(n, noisy(n), "en", "stu"[0 if n < 150 else 1 if n < 200 else 2]) for n in range(207)]
+    counts = quality.with_counts(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"),
+        "text",
+        *[quality.F.col("doc_id"), *quality._group_columns("lang", "source")],
+    )
+    given = quality._transformed(counts).orderBy("doc_id").collect()
+    x = np.array([[r[name] for name in quality.X] for r in given])
+    group = np.array([r._source for r in given])
+    assert not any(r.base_failed for r in given)
+    m_all, c_all = brute_mcd(x)
+    expected = np.zeros(len(x))
+    for name in "stu":
+        mine = x[group == name]
+        m, c = brute_mcd(mine)
+        w = len(mine) / (len(mine) + quality.PRIOR)
+        apart = np.outer(m - m_all, m - m_all)
+        middle, scatter = w * m + (1 - w) * m_all, w * c + (1 - w) * c_all + w * (1 - w) * apart
+        expected[group == name] = np.einsum("ni,ij,nj->n", mine - middle, np.linalg.inv(scatter), mine - middle)
+    found = [r.distance for r in quality.outliers(counts).orderBy("doc_id").collect()]
+    assert np.allclose(found, expected, rtol=1e-6, atol=1e-9)
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")
