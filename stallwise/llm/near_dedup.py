@@ -17,18 +17,17 @@ checked exactly on the texts, and the links found merge classes. Further rounds
 buckets, of two bands each and other pairs of bands every round, for the members of buckets that still hold two
 classes, until less than one tested pair in ten is a link.
 
-What is left - pairs of different classes - is compared member by member in buckets of two bands each; within a
-bucket the largest class is only the other side of a pair. A bucket in which more than ``FEW`` members lie
-outside its largest class is not compared but split by one more band, which a hash of the bucket chooses, again
-and again. So no level makes more than ``FEW`` pairs per bucket row, however many texts are near one another
-without being linked, and each row goes to one row of the next level. A pair at 0.8 that no star joined meets in
-two bands but for 5e-5, and if one of these buckets is small it is tested then. If all are large and are split
-to 3, 4 or 5 bands, it meets in one of the finer ones with probability 0.98, 0.83 or 0.55 (at similarity 0.85:
-0.999, 0.987, 0.90); more ``FEW`` split less and find more.
-
-Buckets are key-value rows that are counted with map-side combination and joined with an exchange on either
-side. Texts are fetched once, for texts in shared buckets: a bitmap of fixed size marks them while the table
-is read.
+What is left - pairs of different classes - is first compared member by member in buckets of two bands each with
+at most ``FEW`` members outside their largest class. Then every bucket that still holds two classes is compared
+whole, whatever its size: its members outside the largest class with all members of other classes. Such a bucket is
+dealt into blocks of ``BLOCK_BYTES`` of texts; a task holds the signatures and texts of two blocks, drops the pairs
+whose signatures agree too little, checks the rest exactly on the texts, and returns links only. So every pair that
+shares a band is in one class, or too far apart by its signatures, or tested; none depends on the size of a bucket.
+The pairs looked at grow with the square of the texts that are near one another without being linked, as they must,
+but none of them is ever a row: rows grow with the buckets' members, times the blocks of the other side.
+
+Buckets are key-value rows, looked at through windows on one exchange. Texts are fetched once, for texts in shared
+buckets: a bitmap of fixed size marks them while the table is read.
 
 Edge cases: null and empty texts are equal to one another, a text of one to four words is one shingle of all
 its words; repeated rows are copies; the smallest id of a class names it, null ids last (null if all are); an
@@ -42,8 +41,9 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import materialise
@@ -61,8 +61,9 @@ LEAST = (4, 5)
 LEAST_AGREEING = int(COORDINATES * 0.8 - 4.5 * (COORDINATES * 0.16) ** 0.5)
 # star rounds go on while one tested pair in so many is a link
 WORTHWHILE = 10
-# a bucket with more members than this outside its largest class is split before its members are paired
+# a bucket with more members than this outside its largest class is compared in blocks
 FEW = 2
+BLOCK_BYTES = 1 << 23
 CACHED_WORDS = 1 << 19
 _AT_ONCE = 1 << 14
 
@@ -225,30 +226,29 @@ def _signed(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
     return materialise(one.join(nodes.select("_content", "node"), "_content").select("node", "signature", "bands"), "near_signed")
 
 
+def _bucket(*columns: str) -> Window:
+    """The rows of a bucket; columns beside the key divide it."""
+    return Window.partitionBy("key", *columns)
+
+
 def _members(signed: DataFrame) -> DataFrame:
     """(key, node, n) of the buckets with two nodes or more, n of them; written."""
     rows = signed.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return materialise(rows.join(shared, "key"), "near_members")
+    return materialise(rows.withColumn("n", F.count("*").over(_bucket())).filter("n > 1"), "near_members")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """The (key, node, class) rows of buckets that hold two classes or more."""
-    found = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high")
-    return rows.join(materialise(found.select("key"), "near_mixed"), "key")
+    ends = {"low": F.min("class").over(_bucket()), "high": F.max("class").over(_bucket())}
+    return rows.withColumns(ends).filter("low != high").drop("low", "high")
 
 
 def _stars(rows: DataFrame, order: Column) -> DataFrame:
-    """Pairs (a, b) of a center and the members of other classes, per bucket with two classes or more; the
-    member lowest in ``order`` is the center."""
-    buckets = rows.groupBy("key").agg(
-        F.min_by("node", order).alias("center"),
-        F.min_by("class", order).alias("center_class"),
-        F.min("class").alias("low"),
-        F.max("class").alias("high"),
-    )
-    centers = materialise(buckets.filter("low != high").select("key", "center", "center_class"), "near_centers")
-    return _pairs(rows.join(centers, "key").filter("class != center_class"), F.col("center"), F.col("node"))
+    """Pairs (a, b) of a center and the members of other classes, per bucket; the member lowest in ``order`` is the
+    center."""
+    center = F.min_by(F.struct("node", "class"), order).over(_bucket())
+    marked = rows.select("key", "node", "class", center.alias("center")).filter("class != center.class")
+    return _pairs(marked, F.col("center.node"), F.col("node"))
 
 
 def _coupled(signed: DataFrame, nodes: DataFrame, shift: int) -> DataFrame:
@@ -258,52 +258,109 @@ def _coupled(signed: DataFrame, nodes: DataFrame, shift: int) -> DataFrame:
     return signed.join(nodes, "node").select("node", "class", F.explode(keys).alias("key"))
 
 
-def _split(rows: DataFrame, signed: DataFrame, by: Column) -> DataFrame:
-    """(node, class, key, used) in finer buckets. ``rows`` are (node, class, key, used); ``by`` makes an array of
-    finer (key, used) from a node's ``held``, its at most 496 pairs of those, and its ``bands``."""
-    held = F.collect_list(F.struct("key", "used")).alias("held")
-    per_node = rows.groupBy("node", "class").agg(held).join(signed.select("node", "bands"), "node")
-    return materialise(per_node.select("node", "class", F.inline(by)), "near_depth")
-
-
 # both bands of a pair must be buckets of two classes or more
 _TWO_BANDS = f"""
     transform(filter(sequence(0, {BANDS} * {BANDS} - 1), p -> p div {BANDS} < p % {BANDS}
-          and array_contains(held.key, bands[cast(p div {BANDS} as int)]) and array_contains(held.key, bands[p % {BANDS}])),
-      p -> named_struct('key', xxhash64(bands[cast(p div {BANDS} as int)], bands[p % {BANDS}]),
-          'used', shiftleft(1L, cast(p div {BANDS} as int)) | shiftleft(1L, p % {BANDS})))"""
-# the hash of a bucket chooses among the bands that are not in its key
-_ONE_MORE = f"""
-    transform(transform(held, h -> named_struct('key', h.key, 'used', h.used,
-          'next', element_at(filter(sequence(0, {BANDS} - 1), i -> (shiftright(h.used, i) & 1L) = 0L),
-            1 + cast(pmod(xxhash64(h.key), {BANDS} - bit_count(h.used)) as int)))),
-      h -> named_struct('key', xxhash64(h.key, bands[h.next]), 'used', h.used | shiftleft(1L, h.next)))"""
+          and array_contains(held, bands[cast(p div {BANDS} as int)]) and array_contains(held, bands[p % {BANDS}])),
+      p -> xxhash64(bands[cast(p div {BANDS} as int)], bands[p % {BANDS}]))"""
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, class) of buckets with two classes or more, with each bucket's ``largest`` class and how
+    many members lie ``outside`` it."""
+    # one exchange for both windows
+    sized = rows.repartition("key").withColumn("_n", F.count("*").over(_bucket("class")))
+    largest = F.max(F.struct("_n", "class")).over(_bucket())
+    marked = sized.withColumns({"_largest": largest, "_all": F.count("*").over(_bucket())})
+    outside = F.col("_all") - F.col("_largest._n")
+    return marked.select(*rows.columns, F.col("_largest.class").alias("largest"), outside.alias("outside")).filter("outside > 0")
 
 
 def _rest(mixed: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that share small buckets of two or more mixed bands; written."""
-    rows = _split(mixed.select("node", "class", "key", F.lit(0).cast("long").alias("used")), signed, F.expr(_TWO_BANDS))
-    found = None
-    for depth in range(2, BANDS + 1):
-        sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
-        buckets = sizes.groupBy("key").agg(
-            F.max_by("class", F.struct("n", "class")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside")
-        )
-        buckets = materialise(buckets.filter("outside > 0"), "near_buckets")
-        # nothing is left to split by when all bands are in the key
-        small = (F.col("outside") <= FEW) | F.lit(depth == BANDS)
-        left = rows.join(buckets.filter(small).select("key", "largest"), "key")
-        # members of a bucket's largest class are not matched with one another
-        few = left.filter("class != largest")
-        right = left.select("key", F.col("node").alias("other"), F.col("class").alias("other_class"))
-        pairs = few.join(right, "key").filter("class != other_class and (other_class = largest or class < other_class)")
-        pairs = materialise(_pairs(pairs, F.col("node"), F.col("other")), "near_rest")
-        found = pairs if found is None else found.unionByName(pairs)
-        large = buckets.filter(~small).select("key")
-        if large.isEmpty():
-            break
-        rows = _split(rows.join(large, "key"), signed, F.expr(_ONE_MORE))
-    return found.distinct()
+    """Pairs (a, b) of different classes that share small buckets of two mixed bands."""
+    held = mixed.groupBy("node", "class").agg(F.collect_list("key").alias("held"))
+    rows = held.join(signed.select("node", "bands"), "node").select("node", "class", F.explode(F.expr(_TWO_BANDS)).alias("key"))
+    small = materialise(_outside(rows).filter(F.col("outside") <= FEW), "near_small")
+    # members of a bucket's largest class are not matched with one another
+    few = small.filter("class != largest")
+    right = small.select("key", F.col("node").alias("other"), F.col("class").alias("other_class"))
+    pairs = few.join(right, "key").filter("class != other_class and (other_class = largest or class < other_class)")
+    return materialise(_pairs(pairs, F.col("node"), F.col("other")), "near_rest")
+
+
+def _block_links(left: list[tuple], right: list[tuple], key: int, largest: int, known: _WordHashes) -> Iterator[tuple[int, int]]:
+    """Links between members (node, class, signature, text) of a bucket: ``left`` outside its largest class."""
+    nodes, classes = (np.array([m[k] for m in right], np.int64) for k in (0, 1))
+    signs, mine = (np.frombuffer(b"".join(m[2] for m in side), np.uint16).reshape(-1, COORDINATES) for side in (right, left))
+    keys, my_keys = bands(signs), bands(mine)
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    regions = None
+    for n, (node, own, _, text) in enumerate(left):
+        # members outside the largest class meet twice
+        fit = (classes != own) & ((classes == largest) | (classes > own))
+        at = np.flatnonzero(fit)
+        at = at[(signs[at] == mine[n]).sum(axis=1) >= LEAST_AGREEING]
+        # a pair is tested in the first bucket that it shares
+        at = at[(keys[at] == my_keys[n]).argmax(axis=1) == band]
+        if not len(at):
+            continue
+        if regions is None:
+            hashed, sizes = shingles([m[3] for m in right], known)
+            regions, _ = _regions(hashed, sizes)
+            starts = np.cumsum(sizes) - sizes
+        here = np.sort(_regions(*shingles([text], known))[0])
+        size = sizes[at]
+        rows = np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        found = here[np.minimum(np.searchsorted(here, regions[rows]), len(here) - 1)] == regions[rows]
+        shared = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+        for k in at[shared * LEAST[1] >= (size + len(here) - shared) * LEAST[0]].tolist():
+            yield node, int(nodes[k])
+
+
+def _blocks(mixed: DataFrame, signed: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Links (a, b) between different classes in the written buckets ``mixed``, every pair compared; written."""
+    small_batches(mixed.sparkSession)
+    members = signed.select("node", "signature").join(fetched, "node")
+    sizes = fetched.select("node", (F.octet_length("_text") + 2 * COORDINATES + 100).cast("long").alias("_bytes"))
+    rows = _outside(mixed.join(sizes, "node"))
+    few = F.col("class") != F.col("largest")
+    whole = {"_all": F.sum("_bytes").over(_bucket()), "_few": F.sum(F.when(few, F.col("_bytes"))).over(_bucket())}
+    blocks = {name: F.ceil(F.col(name) / BLOCK_BYTES) for name in whole}
+    rows = materialise(rows.withColumns(whole).withColumns(blocks).drop("_bytes", "outside"), "near_dealt")
+
+    def dealt(which: DataFrame, side: int) -> DataFrame:
+        """Every member lies in one block of its side and meets all blocks of the other."""
+        own, other = ("i", "j") if side == 0 else ("j", "i")
+        count, others = ("_few", "_all") if side == 0 else ("_all", "_few")
+        block = F.pmod(F.xxhash64("node"), F.col(count)).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias(other)
+        return which.select("key", "node", "class", "largest", F.lit(side).alias("side"), block, every)
+
+    both = dealt(rows.filter(few), 0).unionByName(dealt(rows, 1)).join(members, "node")
+    place = ["key", "i", "j"]
+    both = both.repartition(*place).sortWithinPartitions(*place, "side")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, largest, sides = _WordHashes(), None, None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            found = list(_block_links(*sides, now[0], largest, known)) if sides[0] and sides[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = (row["key"], row["i"], row["j"])
+                if here != now:
+                    if now is not None:
+                        yield done()
+                    now, largest, sides = here, row["largest"], ([], [])
+                sides[row["side"]].append((row["node"], row["class"], row["signature"], row["_text"]))
+        if now is not None:
+            yield done()
+
+    found = both.select(*place, "largest", "side", "node", "class", "signature", "_text").mapInArrow(compare, "a long, b long")
+    return materialise(found, "near_links")
 
 
 def _pairs(joined: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -409,6 +466,7 @@ def _classes(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
         return 0 < fresh.count() <= found * WORTHWHILE
 
     # stars while they merge much, in finer buckets after the first round; what they leave is paired in small buckets
+    # and then, in blocks, in all that still hold two classes
     first = members.join(company, "node").select("key", "node", F.col("node").alias("class"), "company")
     step(_stars(first, F.struct(-F.col("company"), F.col("node"))))
     members = members.select("key", "node")
@@ -420,7 +478,9 @@ def _classes(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
         if not again:
             break
     step(_rest(mixed, signed))
-    return classes
+    mixed = materialise(_mixed(mixed.select("key", "node").join(classes, "node")), "near_mixed_rows")
+    links = _blocks(mixed, signed, fetched)
+    return classes if links.isEmpty() else _merged(classes, links)
 
 
 def _decided(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:

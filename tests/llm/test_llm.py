@@ -296,6 +296,24 @@ def test_near_copies_of_a_missing_text_match_brute_force(spark):
     assert {r.doc_id: r.class_id for r in found} == expected
 
 
+def test_links_inside_large_buckets_are_all_found(spark, monkeypatch):
+    """What stars leave is compared in blocks of any number, whatever the size of a bucket."""
+    blocks, found = near_dedup._blocks, []
+
+    def counted(*tables):
+        links = blocks(*tables)
+        found.append(links.count())
+        return links
+
+    monkeypatch.setattr(near_dedup, "_blocks", counted)
+    monkeypatch.setattr(near_dedup, "_rest", lambda mixed, signed: mixed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(near_dedup, "WORTHWHILE", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 20_000)
+    rows = drifted(300, 1, 9, 4)
+    classes = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in classes} == brute_classes(rows) and found[0] > 0
+
+
 def test_pairs_of_unlinked_copies_grow_with_the_texts(spark, monkeypatch):
     """Copies that are near one another but below the threshold: twice the texts, not four times the pairs."""
     rest, made = near_dedup._rest, []
