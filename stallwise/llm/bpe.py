@@ -1,12 +1,11 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The vocabulary file of a public tokenizer is a parameter. Spark counts the words of a bounded sample of the
-rows (``lexicon_rows``, about; all rows if there are fewer); at most ``lexicon_words`` of the most frequent
-ones are compiled on the driver into a minimal acyclic automaton with shared prefixes and suffixes, whose
+The vocabulary file of a public tokenizer is a parameter. Spark counts the words of all rows, in each task first
+in a table of bounded size; at most ``lexicon_words`` of the most frequent ones are compiled on the driver into a minimal acyclic automaton with shared prefixes and suffixes, whose
 edges carry how many words come before, so that a path yields the word's number and with it its ids. The
 automaton is one flat file: it goes to the shared folder, Spark ships it to the executors, and every Python
 worker maps it into memory. Words outside it are merged exactly, pair by pair in rank order: the new words of
-a few texts side by side as rows of a matrix, long ones with a heap. So the sample and the lexicon change the
+a few texts side by side as rows of a matrix, long ones with a heap. So the lexicon changes the
 speed and never the ids. A table per worker keeps what was looked up; it is emptied after the texts that fill it.
 
 Edge cases: a null text is empty; an empty text has no ids and decodes to the empty text; strings of added
@@ -24,11 +23,13 @@ import re
 import struct
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,8 @@ from ..workspace import materialise, new_path
 from .base import small_batches, text_of
 
 LEXICON_WORDS = 50_000
-LEXICON_ROWS = 20_000
+# a task counts so many units before it hands them on
+COUNTED_UNITS = 1 << 18
 CACHED_UNITS = 1 << 19
 # texts are encoded together up to so many characters
 _TOGETHER = 1 << 20
@@ -377,14 +379,35 @@ def together(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
-def frequent_units(docs: DataFrame, text_col: str, top: int, rows: int = LEXICON_ROWS) -> list[str]:
-    """At most ``top`` of the most frequent blank-separated units of about ``rows`` rows: those that occur at
-    least as often as the first frequency that has no more than ``top`` units at or above it, twice at least."""
-    total = docs.count()
-    some = docs.sample(fraction=rows / total, seed=0) if total > rows else docs
-    units = some.select(F.explode(F.split(text_of(text_col), "[ \n]")).alias("unit")).filter("unit != ''")
-    counted = materialise(units.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1"), "bpe_units")
-    # the sample is bounded and so is the number of its frequencies
+def _unit_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(unit, n) of the blank-separated units of all rows, summed within tasks."""
+    small_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["unit", "n"])
+
+        for batch in batches:
+            for text in batch["_text"].to_pylist():
+                counts.update(text.replace("\n", " ").split(" "))
+                if len(counts) >= COUNTED_UNITS:
+                    yield flushed()
+                    counts.clear()
+        if counts:
+            yield flushed()
+
+    return docs.select(text_of(text_col).alias("_text")).mapInArrow(count, "unit string, n long").filter("unit != ''")
+
+
+def frequent_units(docs: DataFrame, text_col: str, top: int) -> list[str]:
+    """At most ``top`` of the most frequent blank-separated units of all rows: those that occur at least as often
+    as the first frequency that has no more than ``top`` units at or above it, twice at least."""
+    units = _unit_counts(docs, text_col).groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = materialise(units.filter("n > 1"), "bpe_units")
+    # n units in all have at most sqrt(2 n) different frequencies
     per_n = sorted(((r["n"], r["units"]) for r in counted.groupBy("n").agg(F.count("*").alias("units")).collect()), reverse=True)
     least, taken = None, 0
     for n, number in per_n:
@@ -429,7 +452,6 @@ def tokenised(
     id_col: str = "doc_id",
     text_col: str = "text",
     lexicon_words: int = LEXICON_WORDS,
-    lexicon_rows: int = LEXICON_ROWS,
     keep: tuple[str, ...] = ("ids", "decoded"),
 ) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256 and, if in ``keep``, ``ids``
@@ -437,7 +459,7 @@ def tokenised(
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = Vocabulary(vocabulary_path)
-    name = ship(spark, build_lexicon(vocabulary, frequent_units(docs, text_col, lexicon_words, lexicon_rows)))
+    name = ship(spark, build_lexicon(vocabulary, frequent_units(docs, text_col, lexicon_words)))
     shared = spark.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
     extra = [c for c in ("ids", "decoded") if c in keep]
 

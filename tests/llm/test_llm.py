@@ -540,6 +540,15 @@ def test_words_merged_side_by_side_and_bounded_table(spark, monkeypatch):
     assert bpe.frequent_units(few, "text", 2) == [] and bpe.frequent_units(few.limit(0), "text", 2) == []
 
 
+def test_lexicon_counts_every_row(spark, monkeypatch):
+    """More rows than any sample took; a word of the last rows alone is as frequent as it is."""
+    monkeypatch.setattr(bpe, "COUNTED_UNITS", 3)
+    n = F.col("id")
+    text = F.when(n < 70_000, F.concat(F.lit("u"), n)).otherwise(F.concat(F.lit("v"), (n / 2).cast("int"), F.lit(" \nx")))
+    docs = spark.range(70_004).select(n.alias("doc_id"), text.alias("text"))
+    assert sorted(bpe.frequent_units(docs, "text", 3)) == ["v35000", "v35001", "x"]
+
+
 def test_lexicon_holds_exactly_its_words(tmp_path):
     words = {w.encode(): [n, n + 1] for n, w in enumerate(["a", "ab", "abc", "xbc", "ybc", "é", " the"])}
     path = tmp_path / "lexicon"
