@@ -145,3 +145,17 @@ def test_results_do_not_depend_on_heavy_keys(spark, base, monkeypatch):
     assert fresh.item_buckets is None
     for name in LAYOUT_SENSITIVE:
         assert _results(spark, name, fresh) == base[name], name
+
+
+def test_order_fact_alone_writes_no_item_fact(spark):
+    """Queries on orders shuffle the few item columns that they need; the rows are those of the written fact."""
+    alone, both = (Warehouse(driver_tables.load(spark, SMALL)) for _ in range(2))
+    assert both.item_fact.count() > 0
+    shown = JOBS["order_level"].columns.split()
+    fields = [c.split(":")[0] for c in shown if c != "avg_distance_km:d"]
+    rows = [
+        {r.order_id: (r.avg_distance_km, tuple(r[f] for f in fields)) for r in w.order_fact.collect()} for w in (alone, both)
+    ]
+    assert "item_fact" not in alone._kept and rows[0].keys() == rows[1].keys()
+    for key, (distance, others) in rows[0].items():
+        assert others == rows[1][key][1] and distance == pytest.approx(rows[1][key][0], nan_ok=True)
