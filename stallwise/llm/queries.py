@@ -101,7 +101,7 @@ def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    scored = context_tree.score(table(spark, folder, "documents"), ~held_out)
+    scored = context_tree.score(table(spark, folder, "documents"), ~held_out, across=True)
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )

@@ -191,6 +191,35 @@ def test_context_tree_matches_brute_force(docs, texts, depth, size):
         assert mine[:5] == theirs[:5] and mine[5:] == pytest.approx(theirs[5:], rel=1e-9)
 
 
+class TextTree(Tree):
+    """The same over whole texts, each with its end."""
+
+    def coded(self, word: bytes):
+        text = b" " * self.depth + word
+        return [(text[i - self.depth : i], text[i]) for i in range(self.depth, len(text))]
+
+
+@pytest.mark.parametrize("depth, size", [(3, 1 << 21), (context_tree.DEPTH, 64)])
+def test_contexts_go_on_across_words(docs, texts, depth, size):
+    """Also where shards cut a text."""
+    trained = lambda key: key is not None and key % 3 != 1
+    spelled = [b" ".join(tokens_of(text)) for _, text, _ in texts]
+    tree = TextTree(Counter(t for t, (key, _, _) in zip(spelled, texts, strict=True) if trained(key)), depth)
+    expected = sorted((str(key), len(t), tree.score(t)) for t, (key, _, _) in zip(spelled, texts, strict=True))
+    found = context_tree.score(docs, F.col("doc_id") % 3 != 1, depth=depth, size=size, across=True).collect()
+    got = sorted((str(r.doc_id), round(-r.score * math.log2(10) / r.bits_per_byte), r.score) for r in found)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], rel=1e-9)
+
+
+def test_order_of_words_matters_to_op12(spark, tmp_path):
+    """The same words in the order of the training texts are likelier than in another."""
+    rows = [(i, "red fish blue bird " * 5) for i in range(40)] + [(100, "red fish blue bird"), (101, "fish red bird blue")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r.doc_id: r.score for r in queries.QUERIES["op12_context_tree"](spark, str(tmp_path)).collect()}
+    assert scores[100] > scores[101] + 1
+
+
 def test_subtrees_agree_at_every_level(spark):
     rng = random.Random(5)
     vocabulary = [bytes(rng.choices(b"abc", k=rng.randint(1, 9))) for _ in range(200)]
