@@ -265,7 +265,7 @@ def grouped(counts: dict[str, int]) -> dict[str, tuple]:
         root = word
         while form[root] is not None:
             root = form[root]
-        rows[word] = (form[word], root, n, len(near[word]), counts[form[word]] if form[word] else None)
+        rows[word] = (form[word], root, n, len(near[word]), counts[form[word]] if form[word] is not None else None)
     return rows
 
 
