@@ -12,7 +12,11 @@ extensions of frequent triples. A phrase seen ``least`` times has only parts see
 what the summed counts of the length before rule out. Workers test that on bitmaps of hashes, one per length, sized
 by the counted phrases up to ``FILTER_BITS`` (32 MB); a bit set by another phrase costs work and changes no count.
 
-Scale: nothing but the bitmaps is broadcast, rows are shuffled as counts per shard and phrase, and the best
+Most pairs and triples are rare, so these are first summed by a 32-bit hash alone, a few bytes each instead of a row
+with its text. Sums below ``least`` rule out every phrase of that hash; the last pass spells what is left and counts
+it exactly, all lengths at once.
+
+Scale: nothing but the bitmaps is broadcast, rows are shuffled as counts per task and phrase or hash, and the best
 phrases of a language are chosen before they meet. Shards are written once and read by every level. A piece
 longer than a shard is cut with ``DEPTH - 1`` words of overlap; what lies wholly in an overlap is counted in a
 shard of its own with the sign -1.
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +51,9 @@ SHARD_WORDS = 1 << 19
 SHARDS_PER_FILE = 4
 SHARDS_PER_TASK = 16
 FILTER_BITS = 1 << 28
+# counts by hash meet in groups of some million hashes; a task merges its shards' counts from so many on
+SHARDS_PER_GROUP = 4
+MERGED = 1 << 21
 _SLICE = 1 << 22
 _ROWS = 1 << 16
 _SEED = 42  # of Spark's xxhash64
@@ -223,10 +230,19 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size
     return spark.read.schema(_SIGN_SHARD).parquet(path)
 
 
-def _hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
-    """Spark's xxhash64 over (language, phrase)."""
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64 over (language, word)."""
     seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
-    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases))
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _hashes(word_hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """32-bit hashes of phrases, from those of their words; a word keeps the low bits of its own."""
+    code = word_hashes[ids[:, 0]]
+    for column in ids.T[1:]:
+        code = (code ^ code >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + word_hashes[column]
+        code ^= code >> np.uint64(29)
+    return code.astype(np.uint32)
 
 
 @dataclass(frozen=True)
@@ -236,18 +252,18 @@ class Filter:
     bits: Broadcast
     size: int
 
-    def keeps(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        slot = _hashes(lang, phrases) & np.uint64(self.size - 1)
+    def keeps(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & np.uint32(self.size - 1)
         table = np.frombuffer(self.bits.value, np.uint8)
-        return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return (table[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def filter_of(frequent: DataFrame) -> Filter:
-    """Of the written table (lang, phrase): 16 bits a phrase, up to ``FILTER_BITS`` in all."""
+    """Of the written table (hash): 16 bits a hash, up to ``FILTER_BITS`` in all."""
     size = 1 << 20
     while size < min(16 * frequent.count(), FILTER_BITS):
         size *= 2
-    slot = F.pmod(F.xxhash64("lang", "phrase"), F.lit(size)).alias("_slot")
+    slot = F.pmod("hash", F.lit(size)).alias("_slot")
     slots = frequent.select(slot).select(
         F.expr(f"cast(_slot div {_BITS_PER_ROW} as int)").alias("bucket"), F.expr(f"cast(_slot % {_BITS_PER_ROW} as int)").alias("place")
     )
@@ -270,17 +286,13 @@ def _among(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
 
 
-def _enumerated(row: dict, length: int, filters: list[Filter]) -> tuple[list[bytes], np.ndarray]:
-    """Phrases of the length with their counts; ``filters`` hold the frequent phrases of each shorter length."""
-    lang, words = row["lang"], row["words"].split(b" ")
+def _enumerated(row: dict, word_hashes: np.ndarray, length: int, filters: list[Filter]) -> Iterator[Phrases]:
+    """Phrases of two words up to the length; of each shorter length only those that ``filters`` keep."""
     forward = Index(np.frombuffer(row["forward"], np.int32))
-    found = words_of_index(forward)
-    if length == 1:
-        return _spelled(words, found.ids), found.count
     backward = Index(np.frombuffer(row["backward"], np.int32))
-    number = len(words)
+    number = len(word_hashes)
     # per length, the frequent phrases of the shard: each as the rank of its start and its last word
-    known: list[np.ndarray] = [np.flatnonzero(filters[0].keeps(lang, words))]
+    known: list[np.ndarray] = [np.flatnonzero(filters[0].keeps(word_hashes.astype(np.uint32)))]
 
     def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the phrases and whether all their starts are known."""
@@ -291,60 +303,150 @@ def _enumerated(row: dict, length: int, filters: list[Filter]) -> tuple[list[byt
                 sure &= _among(known[level + 1], code)
         return code, sure
 
+    found = words_of_index(forward)
+    found = found.where(_among(known[0], found.ids[:, 0]))
     for size in range(2, length + 1):
-        if size > 2:
-            found = found.where(filters[size - 2].keeps(lang, _spelled(words, found.ids)))
-            known.append(np.sort(ranked(found.ids)[0]))
-        else:
-            found = found.where(_among(known[0], found.ids[:, 0]))
         left = size % 2 == 0
         found = extended(found, forward, backward, left)
         # what the new word makes with all others but the last one behind it must be frequent too
         code, sure = ranked(found.ids[:, : size - 1] if left else found.ids[:, 1:])
         found = found.where(sure & _among(known[-1], code))
-    return _spelled(words, found.ids), found.count
+        if size < len(filters) + 1:
+            found = found.where(filters[size - 1].keeps(_hashes(word_hashes, found.ids)))
+            known.append(np.sort(ranked(found.ids)[0]))
+        yield found
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
-def counted(shard_rows: DataFrame, length: int, filters: list[Filter]) -> DataFrame:
-    """Counts (lang, phrase, count) of the phrases of a length, summed across shards.
+def _planes(numbers: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: those of small numbers are zeros, which compress."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
+
+
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def frequent_hashes(shard_rows: DataFrame, groups: int, length: int, filters: list[Filter], least: int) -> DataFrame:
+    """The hashes whose phrases of the length occur ``least`` times together; ``groups`` is a power of two.
+
+    Counts go as sorted hashes per group, each as its distance from the one before.
+    """
+    shift = 32 - (groups.bit_length() - 1)
+    schema = pa.schema([("group", pa.int32()), ("steps", pa.binary()), ("counts", pa.binary())])
+
+    def sent(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        ends = np.searchsorted(hashes, np.arange(1, groups + 1, dtype=np.uint64) << np.uint64(shift))
+        rows, start = [], 0
+        for group, end in enumerate(ends.tolist()):
+            if end > start:
+                inside = hashes[start:end].astype(np.int64) - (group << shift)
+                # counts of a task stay far below 2**31, those of a shard below its size
+                rows.append((group, _planes(np.diff(inside, prepend=0)), _planes(counts[start:end])))
+            start = end
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def enumerate_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = 0, []
+        for row in _rows_of(batches):
+            word_hashes = _word_hashes(row["lang"], row["words"].split(b" "))
+            *_, found = _enumerated(row, word_hashes, length, filters)
+            if len(found.count):
+                parts.append((_hashes(word_hashes, found.ids), found.count * row["sign"]))
+                held += len(found.count)
+            if held >= MERGED:
+                yield sent(*_summed(*map(np.concatenate, zip(*parts, strict=True))))
+                held, parts = 0, []
+        if parts:
+            yield sent(*_summed(*map(np.concatenate, zip(*parts, strict=True))))
+
+    def add_up(table: pa.Table) -> pa.Table:
+        base = table["group"][0].as_py() << shift
+        hashes = [base + np.cumsum(_of_planes(steps), dtype=np.int64) for steps in table["steps"].to_pylist()]
+        counts = [_of_planes(c).astype(np.int64) for c in table["counts"].to_pylist()]
+        hashes, counts = _summed(np.concatenate(hashes), np.concatenate(counts))
+        return pa.table({"hash": hashes[counts >= least]})
+
+    rows = shard_rows.select("lang", "sign", "words", "forward", "backward")
+    sent_counts = rows.mapInArrow(enumerate_all, "group int, steps binary, counts binary")
+    return sent_counts.groupBy("group").applyInArrow(add_up, "hash long")
+
+
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("count", pa.int64())])
+
+
+def _counted(shard_rows: DataFrame, counts_of: Callable[[dict], Iterator[tuple[list[bytes], np.ndarray]]]) -> DataFrame:
+    """Counts (lang, phrase, count) that the function gives for a shard, summed across shards.
 
     A task takes several shards, whose counts meet before they are shuffled.
     """
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("count", pa.int64())])
 
     def enumerate_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                phrases, counts = _enumerated(row, length, filters)
+        for row in _rows_of(batches):
+            for phrases, counts in counts_of(row):
                 for at in range(0, len(phrases), _ROWS):
                     part = phrases[at : at + _ROWS]
                     signed = pa.array(counts[at : at + _ROWS] * row["sign"], pa.int64())
                     columns = [pa.array([row["lang"]] * len(part)), pa.array(part, pa.binary()), signed]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    yield pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
 
-    rows = shard_rows.select("lang", "sign", "words", "forward", "backward")
-    found = rows.mapInArrow(enumerate_all, "lang string, phrase binary, count long")
+    found = shard_rows.mapInArrow(enumerate_all, "lang string, phrase binary, count long")
     summed = found.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
     return summed.select("lang", F.col("phrase").cast("string").alias("phrase"), "count")
 
 
+def counted_words(shard_rows: DataFrame) -> DataFrame:
+    def counts_of(row: dict) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        counts = np.bincount(np.frombuffer(row["forward"], np.int32))
+        yield row["words"].split(b" ")[1:], counts[1:]
+
+    return _counted(shard_rows.select("lang", "sign", "words", "forward"), counts_of)
+
+
+def counted_phrases(shard_rows: DataFrame, filters: list[Filter]) -> DataFrame:
+    """Counts of the phrases of two to four words whose parts, and up to three words also themselves, the filters keep."""
+
+    def counts_of(row: dict) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        words = row["words"].split(b" ")
+        for found in _enumerated(row, _word_hashes(row["lang"], words), DEPTH, filters):
+            for at in range(0, len(found.count), _ROWS):
+                yield _spelled(words, found.ids[at : at + _ROWS]), found.count[at : at + _ROWS]
+
+    return _counted(shard_rows.select("lang", "sign", "words", "forward", "backward"), counts_of)
+
+
 def frequent_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, size: int = SHARD_WORDS
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, count) of all phrases of up to four words seen ``least`` times, and words per language (lang, n)."""
     indexed = shards(docs, text_col, lang_col, size)
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-indexed.count() // SHARDS_PER_TASK))
-    together, filters = None, []
-    for length in range(1, DEPTH + 1):
-        found = counted(indexed.coalesce(tasks), length, filters).filter(F.col("count") >= least)
-        found = materialise(found, "phrase_counts")
-        if length < DEPTH:
-            filters = [*filters, filter_of(found)]
-        found = found.select("lang", "phrase", F.lit(length).alias("words"), "count")
-        together = found if together is None else together.unionByName(found)
+    number = indexed.count()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-number // SHARDS_PER_TASK))
+    groups = 16
+    while groups < min(number / SHARDS_PER_GROUP, 1 << 16):
+        groups *= 2
+    together = indexed.coalesce(tasks)
+    words = materialise(counted_words(together).filter(F.col("count") >= least), "phrase_counts")
+    filters = [filter_of(words.select(F.xxhash64("lang", "phrase").alias("hash")))]
+    for length in range(2, DEPTH):
+        filters.append(filter_of(materialise(frequent_hashes(together, groups, length, filters, least), "phrase_hashes")))
+    longer = materialise(counted_phrases(together, filters).filter(F.col("count") >= least), "phrase_counts")
+    number_of_words = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).alias("words")
+    found = words.unionByName(longer).select("lang", "phrase", number_of_words, "count")
     totals = indexed.groupBy("lang").agg(F.sum(F.col("sign") * F.col("positions")).alias("n"))
-    return together, totals
+    return found, totals
 
 
 def _wide(number: Column) -> Column:

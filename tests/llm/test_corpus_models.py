@@ -95,6 +95,28 @@ def test_phrases_match_brute_force(docs, texts, size):
     assert sorted(map(tuple, phrases.collocations(found, sums, top=40).collect())) == sorted(expected)
 
 
+def test_rare_pairs_are_ruled_out_by_their_hashes(spark):
+    """Every frequent pair passes the sums by hash, few of the others are spelled and shuffled."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=500)) + " . " + "to be or not " * 9, "en") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = Counter({k[1]: v for k, v in counted_phrases(rows)[0].items()})
+    indexed = phrases.shards(docs, size=700)
+    words = phrases.counted_words(indexed).filter("count >= 5")
+    filters = [phrases.filter_of(words.selectExpr("xxhash64(lang, phrase) as hash"))]
+    for length in (2, 3):
+        hashes = phrases.frequent_hashes(indexed, 16, length, filters, 5)
+        frequent = sum(len(k) == length and v >= 5 for k, v in counts.items())
+        assert frequent > 0 and hashes.filter("hash < 0 or hash >= 4294967296").count() == 0
+        assert hashes.count() <= frequent  # fewer if two phrases share a hash
+        filters.append(phrases.filter_of(hashes))
+    found = {tuple(r.phrase.split(" ")): r["count"] for r in phrases.counted_phrases(indexed, filters).collect()}
+    assert all(counts[k] == v for k, v in found.items())
+    assert {k for k, v in counts.items() if v >= 5 and len(k) > 1} <= found.keys()
+    assert sum(len(k) == 2 for k in found) < sum(len(k) == 2 for k in counts) / 4
+
+
 def test_score_arithmetic_is_wide(spark):
     big = 10**14
     rows = [("en", "a b", 2, big), ("en", "a", 1, 3 * big), ("en", "b", 1, big + 1)]
