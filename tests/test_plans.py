@@ -1,5 +1,6 @@
 """Plan shape and independence of the physical layout."""
 
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -10,6 +11,7 @@ from stallwise import warehouse
 from stallwise.jobs import JOBS
 from stallwise.operators import cuts, grouping, running
 from stallwise.operators.grouping import Layout
+from stallwise.plans import facts
 from stallwise.sources import driver_tables, tables
 from stallwise.warehouse import Warehouse
 from stallwise.workspace import new_path
@@ -159,3 +161,34 @@ def test_order_fact_alone_writes_no_item_fact(spark):
     assert "item_fact" not in alone._kept and rows[0].keys() == rows[1].keys()
     for key, (distance, others) in rows[0].items():
         assert others == rows[1][key][1] and distance == pytest.approx(rows[1][key][0], nan_ok=True)
+
+
+def test_items_and_orders_join_where_they_lie(spark):
+    """Both facts lie by order, so their join moves no row; sellers come to the items."""
+    wh = Warehouse(driver_tables.load(spark, SMALL))
+    totals = lambda: facts.order_totals(wh.item_fact, wh.orders_enriched, wh.item_layout)
+    assert wh.item_buckets == wh.order_buckets and totals().count() > 0
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = totals()._jdf.queryExecution().executedPlan().toString()
+        items = wh.item_plan(wh.orders_enriched, wh.geo_zip, wh.item_buckets)
+        item_plan = items._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert "hashpartitioning(seller_id" not in item_plan and "hashpartitioning(product_id" in item_plan
+
+
+def test_many_sellers_and_repeated_orders_give_the_same_items(spark, monkeypatch):
+    def rows(change) -> list:
+        raw = driver_tables.load(spark, SMALL)
+        twice = raw.orders.where("order_id % 5 = 0")
+        raw = replace(raw, orders=raw.orders.unionByName(twice))
+        wh = Warehouse(raw)
+        change(wh)
+        return sorted(map(str, wh.item_fact.drop("seller_lat", "customer_lat", "distance_km").collect()))
+
+    few = rows(lambda wh: None)
+    monkeypatch.setattr(facts, "FEW_SELLERS", 0)
+    assert rows(lambda wh: wh._kept.update(layout_raw_orders_order_id=Layout.ANY)) == few
