@@ -333,10 +333,12 @@ def _of_planes(data: bytes) -> np.ndarray:
 
 
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+    """Sorted 32-bit hashes and the sums of their 32-bit counts."""
+    both = hashes.astype(np.uint64) << np.uint64(32) | counts.astype(np.uint32)
+    both.sort()
+    hashes, counts = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32).view(np.int32)
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def frequent_hashes(shard_rows: DataFrame, groups: int, length: int, filters: list[Filter], least: int) -> DataFrame:
@@ -364,7 +366,7 @@ def frequent_hashes(shard_rows: DataFrame, groups: int, length: int, filters: li
             word_hashes = _word_hashes(row["lang"], row["words"].split(b" "))
             *_, found = _enumerated(row, word_hashes, length, filters)
             if len(found.count):
-                parts.append((_hashes(word_hashes, found.ids), found.count * row["sign"]))
+                parts.append((_hashes(word_hashes, found.ids), (found.count * row["sign"]).astype(np.int32)))
                 held += len(found.count)
             if held >= MERGED:
                 yield sent(*_summed(*map(np.concatenate, zip(*parts, strict=True))))
@@ -375,9 +377,9 @@ def frequent_hashes(shard_rows: DataFrame, groups: int, length: int, filters: li
     def add_up(table: pa.Table) -> pa.Table:
         base = table["group"][0].as_py() << shift
         hashes = [base + np.cumsum(_of_planes(steps), dtype=np.int64) for steps in table["steps"].to_pylist()]
-        counts = [_of_planes(c).astype(np.int64) for c in table["counts"].to_pylist()]
+        counts = [_of_planes(c) for c in table["counts"].to_pylist()]
         hashes, counts = _summed(np.concatenate(hashes), np.concatenate(counts))
-        return pa.table({"hash": hashes[counts >= least]})
+        return pa.table({"hash": hashes[counts >= least].astype(np.int64)})
 
     rows = shard_rows.select("lang", "sign", "words", "forward", "backward")
     sent_counts = rows.mapInArrow(enumerate_all, "group int, steps binary, counts binary")
